@@ -403,7 +403,7 @@ def _(t):
     return plain_money(integrity.upsert_keep(*_stored_and_batch(t), "codigo_emenda"))
 
 
-@query("u7_touched_partitions", on_views("amendments", "SELECT DISTINCT CAST(unnest([CASE WHEN ano < 1999 THEN ano END, ano + 1]) AS INTEGER) AS ano FROM amendments WHERE ano >= 1997 QUALIFY ano IS NOT NULL"))
+@query("u7_touched_partitions", on_views("amendments", "SELECT ano + 1 AS ano FROM amendments WHERE ano >= 1997 UNION SELECT ano FROM amendments WHERE ano IN (1997, 1998)"))
 def _(t):
     return integrity.touched_partitions(*_stored_and_batch(t), "codigo_emenda", "ano")
 
@@ -412,7 +412,7 @@ def _(t):
     "u8_link_author",
     on_views(
         "amendments",
-        """SELECT a.id, l.cod_autor FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 5 = 0 THEN 'desconhecido'
+        """SELECT a.id, coalesce(l.cod_autor, -1) AS cod_autor FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 5 = 0 THEN 'desconhecido'
                WHEN id % 3 = 0 THEN substr(nome_autor, 12) ELSE lower(nome_autor) END AS nome_autor FROM amendments) a
            LEFT JOIN (SELECT pedaco, min(cod_autor) AS cod_autor FROM (
                SELECT cod_autor, nome AS pedaco FROM legislators UNION ALL
@@ -429,7 +429,7 @@ def _(t):
         .otherwise(F.lower("nome_autor"))
     )
     linked = integrity.link_author(rows.withColumn("nome_autor", name), t.legislators)
-    return linked.select("id", "cod_autor")
+    return linked.select("id", F.coalesce("cod_autor", F.lit(-1)).alias("cod_autor"))
 
 
 @query(

@@ -95,14 +95,16 @@ def link_author(amendments: DataFrame, legislators: DataFrame) -> DataFrame:
     Containment is turned into an equi-join: every legislator name yields its
     substrings, but only of the lengths that occur among the author names.  The
     lowest id per substring is pre-aggregated, so common fragments stay cheap.
-    An empty author name links to nobody.
+    The set of lengths is broadcast: n different lengths need n*n/2 letters of
+    names, so it holds some hundred numbers.  An empty author name links to
+    nobody.
     """
     name = F.upper("nome_autor")
     authors = amendments.select(name.alias("_nome")).filter("_nome <> ''").distinct()
     lengths = authors.select(F.length("_nome").alias("_tamanho")).distinct()
     people = legislators.select("cod_autor", F.upper("nome").alias("_texto")).filter("_texto <> ''")
     sized = people.withColumn("_tamanho", F.explode(F.sequence(F.lit(1), F.length("_texto")))).join(
-        lengths, "_tamanho", "left_semi"
+        F.broadcast(lengths), "_tamanho", "left_semi"
     )
     starts = F.sequence(F.lit(1), F.length("_texto") - F.col("_tamanho") + 1)
     fragments = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_texto"), i, F.col("_tamanho"))))

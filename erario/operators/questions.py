@@ -76,19 +76,19 @@ def _words(column: str) -> Column:
 def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(id_consulta, consulta) -> one column per entity, by dictionary matching.
 
-    Word sequences of the question meet the dictionary in an equi-join; per
-    field the longest match wins, then the earliest.  One year gives ``ano``,
-    several give ``ano_inicio`` and ``ano_fim``.
+    The first word of a term decides which word sequences of a question are
+    looked up at all; those meet the dictionary in an equi-join.  Per field the
+    longest match wins, then the earliest.  One year gives ``ano``, several give
+    ``ano_inicio`` and ``ano_fim``.
     """
-    terms = terms.withColumn("termo", F.array_join(_words("termo"), " ")).filter("termo <> ''")
-    longest = terms.agg(F.max(F.size(F.split("termo", " ")))).first()[0] or 1
+    terms = terms.withColumn("_partes", _words("termo")).filter(F.size("_partes") > 0)
+    terms = terms.select(F.array_join("_partes", " ").alias("termo"), "campo", "valor", F.col("_partes")[0].alias("_inicio"), F.size("_partes").alias("n"))
+    openings = terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos"))
     asked = questions.select("id_consulta", _words("consulta").alias("_palavras"))
-
-    starts = asked.select("id_consulta", "_palavras", F.posexplode("_palavras").alias("i", "_primeira"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_palavras") - F.col("i")))
-    sequences = starts.select("id_consulta", "_palavras", "i", F.explode(lengths).alias("n"))
-    grams = sequences.select("id_consulta", "i", "n", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
-    matched = grams.join(terms, "termo")
+    starts = asked.select("id_consulta", "_palavras", F.posexplode("_palavras").alias("i", "_inicio"))
+    sized = starts.join(openings, "_inicio").withColumn("n", F.explode("_tamanhos")).filter(F.col("i") + F.col("n") <= F.size("_palavras"))
+    grams = sized.select("id_consulta", "i", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
+    matched = grams.join(terms.select("termo", "campo", "valor", "n"), "termo")
     fields = ["autor", "partido", "uf", "area", "tipo_emenda", "operacao"]
     best = F.struct(F.col("n"), -F.col("i"))
     chosen = matched.groupBy("id_consulta").agg(

@@ -83,12 +83,14 @@ def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """
     terms = terms.withColumn("_partes", _words("termo")).filter(F.size("_partes") > 0)
     terms = terms.select(F.array_join("_partes", " ").alias("termo"), "campo", "valor", F.col("_partes")[0].alias("_inicio"), F.size("_partes").alias("n"))
-    openings = terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos"))
+    size = terms.count()
+    openings = broadcast_if_bounded(terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos")), size)
+    terms = broadcast_if_bounded(terms.select("termo", "campo", "valor", "n"), size)
     asked = questions.select("id_consulta", _words("consulta").alias("_palavras"))
     starts = asked.select("id_consulta", "_palavras", F.posexplode("_palavras").alias("i", "_inicio"))
     sized = starts.join(openings, "_inicio").withColumn("n", F.explode("_tamanhos")).filter(F.col("i") + F.col("n") <= F.size("_palavras"))
     grams = sized.select("id_consulta", "i", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
-    matched = grams.join(terms.select("termo", "campo", "valor", "n"), "termo")
+    matched = grams.join(terms, "termo")
     fields = ["autor", "partido", "uf", "area", "tipo_emenda", "operacao"]
     best = F.struct(F.col("n"), -F.col("i"))
     chosen = matched.groupBy("id_consulta").agg(

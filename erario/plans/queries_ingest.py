@@ -244,7 +244,8 @@ def _(t):
 
 @query("n1_normalize_amendments", on_views("amendments", f"SELECT id, {NORMALIZED_COLUMNS} FROM n", n=NORMALIZED_SQL))
 def _(t):
-    return _shown(normalize.normalize_amendments(raw_amendments(t), "id"))
+    landed = writers.written(raw_amendments(t), "brutas")
+    return _shown(normalize.normalize_amendments(landed, "id"))
 
 
 @query(

@@ -28,7 +28,7 @@ STORED_COLUMNS = "codigo_emenda, cod_autor, nome_autor, ano, uf, valor_empenhado
 )
 def _(t):
     """Raw records with invalid and repeated codes, loaded over a table that already holds the first years."""
-    raw = raw_amendments(t).withColumn("ordem", F.lit(1))
+    raw = writers.written(raw_amendments(t), "brutas").withColumn("ordem", F.lit(1))
     copies = raw.filter(F.col("id") % 3 == 0).withColumns({"ordem": F.lit(2), "ano": F.col("ano") + 1})
     stored = t.amendments().filter("ano < 1997").select(
         F.col("id").cast("string").alias("codigo_emenda"), "cod_autor", "nome_autor", "ano", F.lit("ZZ").alias("uf"),

@@ -20,11 +20,17 @@ def _by_amount(df: DataFrame) -> DataFrame:
 
 
 def _top_with_party(amendments, legislators, filters, offset, limit) -> DataFrame:
-    """Cut before the party join unless the party is itself a filter."""
+    """Cut before the party join unless the party is itself a filter.
+
+    The join loses the order of the cut, so its few rows are sorted again.  The
+    rows before the page are dropped only then: an offset below a join makes
+    adaptive execution take the second sort for needless and leave it out.
+    """
     if filters.get("partido"):
-        return _by_amount(filter_with_party(amendments, legislators, filters)).offset(offset).limit(limit)
-    top = _by_amount(dynamic_filter(amendments, filters)).offset(offset).limit(limit)
-    return with_party(top, legislators)
+        joined = filter_with_party(amendments, legislators, filters)
+    else:
+        joined = with_party(_by_amount(dynamic_filter(amendments, filters)).limit(offset + limit), legislators)
+    return _by_amount(joined).offset(offset).limit(limit)
 
 
 def _page_offset(page: int, page_size: int) -> int:

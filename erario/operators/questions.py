@@ -78,7 +78,7 @@ def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
 
     The first word of a term decides which word sequences of a question are
     looked up at all; those meet the dictionary in an equi-join.  Per field the
-    longest match wins, then the earliest.  One year gives ``ano``, several give
+    match with most words wins, then the longest, then the earliest.  One year gives ``ano``, several give
     ``ano_inicio`` and ``ano_fim``.
     """
     terms = terms.withColumn("_partes", _words("termo")).filter(F.size("_partes") > 0)
@@ -92,7 +92,7 @@ def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
     grams = sized.select("id_consulta", "i", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
     matched = grams.join(terms, "termo")
     fields = ["autor", "partido", "uf", "area", "tipo_emenda", "operacao"]
-    best = F.struct(F.col("n"), -F.col("i"))
+    best = F.struct(F.col("n"), F.length("termo"), -F.col("i"))
     chosen = matched.groupBy("id_consulta").agg(
         *[F.max_by(F.when(F.col("campo") == f, F.col("valor")), F.when(F.col("campo") == f, best)).alias(f) for f in fields]
     )
@@ -243,7 +243,7 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
         F.col("_chave.mascara") == F.col("_mascara"),
     )
     rest = (
-        F.coalesce(F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")), F.col("ano_inicio").isNull() | F.col("ano_fim").isNull())
+        (F.col("ano_inicio").isNull() | F.col("ano_fim").isNull() | F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")))
         & (F.coalesce(F.size("ufs"), F.lit(0)).isin(0, -1) | F.array_contains("ufs", F.col("_uf")))
         & (F.col("_q_autor").isNull() | _contains(F.col("nome_autor"), F.col("_q_autor")))
         & (F.col("_q_tipo").isNull() | _contains(F.col("_tipo"), F.col("_q_tipo")))

@@ -15,7 +15,8 @@ from erario.functions.fixed_values import (
     SUBFUNCTION_TERMS,
 )
 from erario.operators.filters import with_party
-from erario.operators.ranked_scan import BROADCAST_ROWS, broadcast_if_bounded
+from erario.operators.ranked_scan import broadcast_if_bounded
+from erario.sources.writers import written
 
 FILTER_SCHEMA = {
     "ano": "int", "ano_inicio": "int", "ano_fim": "int", "uf": "string", "ufs": "array<string>", "autor": "string",
@@ -171,10 +172,20 @@ def decompose(questions: DataFrame, nearest: DataFrame | None = None) -> DataFra
     return typed.withColumn("termo_vetorial", term).select("id_consulta", *FILTER_SCHEMA, "termo_vetorial", "operacao")
 
 
-def _search_keys(questions: DataFrame) -> DataFrame:
-    """One row per question and combination of equal-key values; null keys filter nothing."""
+def _filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id_consulta, _filtro) of every question, and the distinct filter sets under a number of their own.
+
+    However often a question is asked, its filters are answered once.  The sets
+    are written out, which makes their numbers final.
+    """
     missing = {c: F.lit(None).cast(t) for c, t in FILTER_SCHEMA.items() if c not in questions.columns}
-    q = questions.withColumns(missing).select("id_consulta", *FILTER_SCHEMA)
+    named = questions.withColumns(missing).withColumn("_filtro", F.to_json(F.struct(*FILTER_SCHEMA)))
+    sets = named.select("_filtro", *FILTER_SCHEMA).dropDuplicates(["_filtro"])
+    return named.select("id_consulta", "_filtro"), written(sets.withColumn("_numero", F.monotonically_increasing_id()), "filtros")
+
+
+def _search_keys(q: DataFrame) -> DataFrame:
+    """One row per filter set and combination of equal-key values; null keys filter nothing."""
     span = F.col("ano_fim") - F.col("ano_inicio")
     years = (
         F.when(F.col("ano").isNotNull(), F.array("ano"))
@@ -188,7 +199,7 @@ def _search_keys(questions: DataFrame) -> DataFrame:
     )
     one = q.withColumn("_ano", F.explode(years)).withColumn("_uf", F.explode(states))
     return one.select(
-        "id_consulta",
+        "_numero",
         *[F.col(f"_{c}" if c in ("ano", "uf") else c).alias(f"_q_{c}") for c in EQUAL_COLUMNS],
         *["ano_inicio", "ano_fim", "ufs", F.col("autor").alias("_q_autor"), F.col("tipo_emenda").alias("_q_tipo")],
     ).withColumn(
@@ -211,15 +222,17 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
     """(id_consulta, id, posicao): the k largest amendments of every question, in one scan.
 
     A filter a question does not carry must match everything, which as a plain
-    join condition would pair all questions with all rows.  Instead questions
-    are grouped by *which* equal-filters they carry; every amendment looks up
-    one key per such group, so the join stays an equi-join.  Only the ids, keys
-    and amounts of matching pairs move, cut to k per question before the shuffle.
+    join condition would pair all questions with all rows.  Instead the distinct
+    filter sets are grouped by *which* equal-filters they carry; every amendment
+    looks up one key per such group, so the join stays an equi-join.  Only the
+    number, id and amount of matching pairs move, cut to k per filter set before
+    the shuffle.
     """
-    keys = _search_keys(questions)
+    asked, sets = _filter_sets(questions)
+    keys = _search_keys(sets)
     groups = keys.groupBy("_mascara").agg(F.count("*").alias("n")).collect()  # at most 2**5 rows
     masks = sorted(row["_mascara"] for row in groups)
-    asked = sum(row["n"] for row in groups)
+    size = sum(row["n"] for row in groups)
     used = [c for i, c in enumerate(EQUAL_COLUMNS) if any(m >> i & 1 for m in masks)]
 
     facts = with_party(amendments, legislators) if "partido" in used else amendments
@@ -248,15 +261,17 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
         & (F.col("_q_autor").isNull() | _contains(F.col("nome_autor"), F.col("_q_autor")))
         & (F.col("_q_tipo").isNull() | _contains(F.col("_tipo"), F.col("_q_tipo")))
     )
-    matched = probe.join(broadcast_if_bounded(keys, asked), same & rest).select("id_consulta", "id", "valor_empenhado")
-    order = Window.partitionBy("id_consulta").orderBy(F.col("valor_empenhado").desc_nulls_last(), F.asc("id"))
+    matched = probe.join(broadcast_if_bounded(keys, size), same & rest).select("_numero", "id", "valor_empenhado")
+    order = Window.partitionBy("_numero").orderBy(F.col("valor_empenhado").desc_nulls_last(), F.asc("id"))
     best = matched.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)
-    return broadcast_if_bounded(best.select("id_consulta", "id", "posicao"), asked * k)
+    named = sets.select("_numero", "_filtro").join(best.select("_numero", "id", "posicao"), "_numero")
+    ranked = asked.join(broadcast_if_bounded(named, size * k), "_filtro")
+    return ranked.select("id_consulta", "id", "posicao")
 
 
 def answer_many(questions: DataFrame, amendments: DataFrame, legislators: DataFrame, k: int = RESULT_LIMIT) -> DataFrame:
     """The ranked rows of every question with their attributes and party."""
-    ranked = structured_ranks(questions, amendments, legislators, k)
+    ranked = written(structured_ranks(questions, amendments, legislators, k), "posicoes")
     return with_party(amendments.join(ranked, "id"), legislators)
 
 

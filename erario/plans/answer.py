@@ -40,10 +40,10 @@ def answer_questions(
     interpreted = written(interpret(questions, legislators), "interpretadas")
     nearest = None if classification is None else nearest_functions(interpreted, classification, dim, threshold)
     filters = written(q.decompose(interpreted, nearest), "filtros")
-    ranked = q.structured_ranks(filters, amendments, legislators, k)
+    ranked = written(q.structured_ranks(filters, amendments, legislators, k), "posicoes")
     if corpus is not None:
         asked = filters.filter(F.col("termo_vetorial").isNotNull()).select("id_consulta", "termo_vetorial")
-        ranked = v.hybrid_fill(written(ranked, "estruturadas"), v.embed(asked, "termo_vetorial", dim), corpus, k, threshold)
+        ranked = v.hybrid_fill(ranked, v.embed(asked, "termo_vetorial", dim), corpus, k, threshold)
     rows = written(with_party(amendments.join(ranked, "id"), legislators), "linhas")
 
     context = present.context_lines(rows, k)

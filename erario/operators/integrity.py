@@ -83,6 +83,14 @@ def upsert_keep(target: DataFrame, batch: DataFrame, key: str, keep: tuple[str,
     return upsert(target, batch, key, keep)
 
 
+def upsert_stamped(
+    target: DataFrame, batch: DataFrame, key: str, now: Column, keep: tuple[str, ...] = ("embedding",)
+) -> DataFrame:
+    """Upsert that sets ``updated_at`` on every batch row and ``created_at`` on the new ones only."""
+    stamped = batch.withColumns({"created_at": now, "updated_at": now})
+    return upsert(target, stamped, key, (*keep, "created_at"))
+
+
 def touched_partitions(target: DataFrame, batch: DataFrame, key: str, partition: str) -> DataFrame:
     """Partitions an upsert changes: those of the batch and those its matched rows leave."""
     left = target.select(key, partition).join(batch.select(key), key, "left_semi")

@@ -1,7 +1,7 @@
 """Raw API records -> the fixed amendment, legislator and classification columns."""
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType, VariantType
+from pyspark.sql.types import NumericType, StructType, VariantType
 
 from erario.functions import money, text
 from erario.functions.fixed_values import DEFAULT_LEGISLATURE, SOURCE_NAME
@@ -79,3 +79,12 @@ def default_amounts(amendments: DataFrame) -> DataFrame:
     """Missing amounts read 0."""
     present = [c for c in AMOUNT_COLUMNS if c in amendments.columns]
     return amendments.withColumns({c: money.default_amount(F.col(c)) for c in present})
+
+
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a stored table in its types and order; what ``df`` lacks is null, amounts are 0."""
+    fields = StructType.fromDDL(schema).fields
+    shaped = df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+    return default_amounts(shaped)

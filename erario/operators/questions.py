@@ -24,6 +24,12 @@ FILTER_SCHEMA = {
 }
 EQUAL_COLUMNS = ["ano", "uf", "partido", "funcao", "subfuncao"]
 WIDEST_YEAR_LIST = 400
+SHORTEST_QUESTION, LONGEST_QUESTION = 3, 500
+
+
+def valid_questions(questions: DataFrame) -> DataFrame:
+    """Questions of an accepted length."""
+    return questions.filter(F.length("consulta").between(SHORTEST_QUESTION, LONGEST_QUESTION))
 
 
 def parse_entities(replies: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from erario.sources.writers import written
 
 
 def interpret(questions: DataFrame, legislators: DataFrame) -> DataFrame:
-    """(id_consulta, consulta) -> the same with ``entidades``."""
-    extracted = q.extract_entities(questions, q.question_dictionary(legislators))
+    """(id_consulta, consulta) -> the same with ``entidades``; the dictionary is built once and read several times."""
+    terms = written(q.question_dictionary(legislators), "dicionario")
+    extracted = q.extract_entities(questions, terms)
     return q.entity_map(extracted).select("id_consulta", "consulta", "entidades")
 
 

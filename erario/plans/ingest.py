@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from erario.functions.fixed_values import EMBEDDING_DIM
-from erario.functions.text import amendment_text
+from erario.functions.text import amendment_text, classification_text
 from erario.operators import integrity, normalize, vectors
 from erario.sources.writers import written
 
@@ -28,6 +28,18 @@ def load_amendments(raw: DataFrame, legislators: DataFrame, stored: DataFrame, o
     return integrity.upsert_keep(stored, prepare_amendments(raw, legislators, order), "codigo_emenda")
 
 
+def insert_amendments(raw: DataFrame, legislators: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """The new snapshot when stored codes stay as they are and only new ones are added."""
+    return integrity.insert_if_absent(stored, prepare_amendments(raw, legislators, order), "codigo_emenda")
+
+
+def load_legislators(raw: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """The new legislators; a person listed several times counts as last listed, replacing what was stored."""
+    rows = normalize.normalize_legislators(raw, *order)
+    last = written(integrity.dedup_last(rows, "cod_autor", order).drop(*order), "parlamentares")
+    return integrity.upsert(stored, last, "cod_autor")
+
+
 def text_of(amendments: DataFrame) -> Column:
     parts = ["nome_autor", "funcao_nome", "subfuncao_nome", "descricao", "uf", "ano"]
     return amendment_text(*[F.col(c) if c in amendments.columns else F.lit(None).cast("string") for c in parts])
@@ -39,3 +51,12 @@ def new_vectors(
     """(key, texto, embedding) of the amendments without a stored vector; append it to the vector table."""
     waiting = vectors.pending_by_key(amendments, stored, key)
     return vectors.embed(waiting.select(key, text_of(waiting).alias("texto")), dim=dim, encoder=encoder)
+
+
+def new_classification_vectors(
+    classification: DataFrame, stored: DataFrame, key: str = "id", dim: int = EMBEDDING_DIM, encoder: Callable | None = None
+) -> DataFrame:
+    """(key, funcao, texto, embedding) of the classifications without a stored vector."""
+    waiting = vectors.pending_by_key(classification, stored, key)
+    names = [F.col(c) for c in ("funcao_nome", "subfuncao_nome", "programa_nome", "descricao")]
+    return vectors.embed(waiting.select(key, "funcao", classification_text(*names).alias("texto")), dim=dim, encoder=encoder)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from erario.functions.fixed_values import PORTAL
 from erario.plans.answer import answer_questions, evaluation_report, score_extraction
-from erario.plans.ingest import load_amendments, new_vectors
+from erario.plans.ingest import insert_amendments, load_amendments, load_legislators, new_classification_vectors, new_vectors
 from erario.plans.queries_ingest import NORMALIZED_SQL, land_amendments, raw_amendments
 from erario.plans.queries_search import LINE_SQL
 from erario.plans.registry import query
@@ -16,6 +16,14 @@ AREA_OF_CODE = {"01": "legislativa", "02": "judiciária", "03": "relacoes exteri
 STORED_COLUMNS = "codigo_emenda, cod_autor, nome_autor, ano, uf, valor_empenhado, embedding"
 
 
+def _stored(t):
+    """A table that already holds the first years, with other values."""
+    return t.amendments().filter("ano < 1997").select(
+        F.col("id").cast("string").alias("codigo_emenda"), "cod_autor", "nome_autor", "ano", F.lit("ZZ").alias("uf"),
+        F.lit(1).cast("decimal(15,2)").alias("valor_empenhado"), F.concat(F.lit("v"), "id").alias("embedding"),
+    )
+
+
 @query(
     "run_load_amendments",
     on_views(
@@ -30,15 +38,60 @@ def _(t):
     """Raw records with invalid and repeated codes, loaded over a table that already holds the first years."""
     raw = writers.written(raw_amendments(t), "brutas").withColumn("ordem", F.lit(1))
     copies = raw.filter(F.col("id") % 3 == 0).withColumns({"ordem": F.lit(2), "ano": F.col("ano") + 1})
-    stored = t.amendments().filter("ano < 1997").select(
-        F.col("id").cast("string").alias("codigo_emenda"), "cod_autor", "nome_autor", "ano", F.lit("ZZ").alias("uf"),
-        F.lit(1).cast("decimal(15,2)").alias("valor_empenhado"), F.concat(F.lit("v"), "id").alias("embedding"),
-    )
-    loaded = load_amendments(raw.unionByName(copies), t.legislators, stored, ["ano", "ordem"])
+    loaded = load_amendments(raw.unionByName(copies), t.legislators, _stored(t), ["ano", "ordem"])
     shown = loaded.select(*STORED_COLUMNS.split(", ")).withColumn("embedding", F.coalesce("embedding", F.lit("")))
     return plain_money(shown)
 
 
+@query(
+    "run_insert_amendments",
+    on_views(
+        "amendments",
+        """SELECT CAST(id AS VARCHAR) AS codigo_emenda, cod_autor, nome_autor, ano, CASE WHEN ano < 1997 THEN 'ZZ' ELSE uf END AS uf,
+           CASE WHEN ano < 1997 THEN 1 ELSE valor_empenhado END AS valor_empenhado, CASE WHEN ano < 1997 THEN 'v' || id ELSE '' END AS embedding
+           FROM (SELECT n.*, a.cod_autor FROM n JOIN amendments a USING (id)) WHERE id % 10 < 9 OR ano < 1997""",
+        n=NORMALIZED_SQL,
+    ),
+)
+def _(t):
+    """The same raw records, where codes already stored stay untouched."""
+    raw = writers.written(raw_amendments(t), "brutas").withColumn("ordem", F.lit(1))
+    loaded = insert_amendments(raw, t.legislators, _stored(t), ["ano", "ordem"])
+    shown = loaded.select(*STORED_COLUMNS.split(", ")).withColumn("embedding", F.coalesce("embedding", F.lit("")))
+    return plain_money(shown)
+
+
+@query(
+    "run_load_legislators",
+    on_views(
+        "legislators",
+        """SELECT cod_autor, nome, CASE WHEN cod_autor % 5 = 0 THEN 'NOVO' WHEN cod_autor % 2 = 0 THEN partido ELSE 'ANTIGO' END AS partido, uf,
+           CASE WHEN cod_autor % 2 = 0 THEN '57' ELSE '50' END AS legislaturas, CASE WHEN cod_autor % 2 = 0 THEN '' ELSE 'civil' END AS nome_civil
+           FROM (SELECT * FROM legislators WHERE cod_autor % 5 > 0 OR cod_autor % 2 = 0)""",
+    ),
+)
+def _(t):
+    """Legislators listed twice with a new party, over stored ones; even ids are in the batch, odd ones only stored."""
+    first = t.legislators.filter(F.col("cod_autor") % 2 == 0).select(
+        F.col("cod_autor").alias("id"), F.lower("nome").alias("nome"), F.col("partido").alias("siglaPartido"), F.col("uf").alias("siglaUf"),
+        F.lit(None).cast("int").alias("idLegislatura"), F.lit("").alias("urlFoto"), F.lit(1).alias("ordem"),
+    )
+    later = first.filter(F.col("id") % 5 == 0).withColumns({"siglaPartido": F.lit("NOVO"), "ordem": F.lit(2)})
+    stored = t.legislators.filter((F.col("cod_autor") % 2 == 1) & (F.col("cod_autor") % 5 > 0)).select(
+        "cod_autor", "nome", F.lit("ANTIGO").alias("partido"), "uf", F.array(F.lit(50)).alias("legislaturas"), F.lit("civil").alias("nome_civil")
+    )
+    loaded = load_legislators(later.unionByName(first), stored, ["ordem"])
+    shown = F.array_join(F.col("legislaturas").cast("array<string>"), ",").alias("legislaturas")
+    return loaded.select("cod_autor", "nome", "partido", "uf", shown, F.coalesce("nome_civil", F.lit("")).alias("nome_civil"))
+
+
+@query("run_new_classification_vectors", on_views("classification vectors", """SELECT id, funcao, funcao_nome || ' ' || subfuncao_nome || ' ' || programa_nome || ' None' AS texto,
+    64 AS dimensoes FROM classification WHERE id NOT IN (SELECT id FROM vectors)"""))
+def _(t):
+    rows = t.classification.withColumn("descricao", F.lit(None).cast("string"))
+    return new_classification_vectors(rows, t.vectors, dim=64).select("id", "funcao", "texto", F.size("embedding").alias("dimensoes"))
+
+
 @query("run_new_vectors", on_views("amendments vectors", """SELECT id, nome_autor || ' | ' || funcao_nome || ' | ' || subfuncao_nome || ' | UF: ' || uf || ' | Ano: ' || ano AS texto,
     384 AS dimensoes FROM amendments WHERE id NOT IN (SELECT id FROM vectors)"""))
 def _(t):

@@ -107,6 +107,24 @@ def test_upsert_overwrites_with_null_but_keeps_vectors(spark):
     assert rows == {"1": (None, [1.0]), "2": ("c", None), "3": ("d", [7.0])}
 
 
+def test_upsert_stamps_new_and_changed_rows(spark):
+    schema = "k string, v int, created_at timestamp, updated_at timestamp"
+    stored = spark.sql("SELECT 'a' AS k, 1 AS v, timestamp'2020-01-01' AS created_at, timestamp'2020-01-01' AS updated_at UNION ALL SELECT 'b', 2, timestamp'2020-01-01', timestamp'2020-01-01'")
+    batch = spark.createDataFrame([("a", 5), ("c", 6)], "k string, v int")
+    rows = integrity.upsert_stamped(normalize.conform(stored, schema), batch, "k", F.lit("2024-05-05").cast("timestamp"))
+    got = {r.k: (r.v, str(r.created_at.date()), str(r.updated_at.date())) for r in rows.collect()}
+    assert got == {"a": (5, "2020-01-01", "2024-05-05"), "b": (2, "2020-01-01", "2020-01-01"), "c": (6, "2024-05-05", "2024-05-05")}
+
+
+def test_conform_to_the_stored_tables(spark):
+    row = normalize.conform(spark.createDataFrame([("1", "2024")], "codigo_emenda string, ano string"), schemas.AMENDMENTS)
+    assert row.columns[:3] == ["id", "codigo_emenda", "cod_autor"] and len(row.columns) == 21
+    first = row.first()
+    assert (first.ano, first.valor_pago, first.uf) == (2024, 0, None)
+    for schema in (schemas.LEGISLATORS, schemas.CLASSIFICATION, schemas.MOVEMENTS, schemas.QUESTION_LOG, schemas.VECTORS):
+        assert normalize.conform(spark.range(1), schema).count() == 1
+
+
 def test_insert_if_absent_is_idempotent(spark):
     stored = spark.createDataFrame([("EMD000", 1)], "codigo_emenda string, v int")
     batch = spark.createDataFrame([("EMD000", 2), ("EMD001", 3)], "codigo_emenda string, v int")

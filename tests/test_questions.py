@@ -4,9 +4,10 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from erario.operators import aggregates, filters, listing, present, question_log, questions as q
+from erario.operators import aggregates, filters, listing, present, question_log, questions as q, ranked_scan
 from erario.plans.answer import answer_questions, interpret, score_extraction
 from erario.plans.question_set import QUESTIONS, evaluation_questions, without_accents
 
@@ -55,7 +56,15 @@ def _matches(question, row, party):
     )
 
 
-def test_structured_ranks_against_brute_force(spark):
+def test_valid_questions(spark):
+    asked = spark.createDataFrame([("ab",), ("abc",), ("x" * 500,), ("x" * 501,), (None,)], "consulta string")
+    assert sorted(len(r.consulta) for r in q.valid_questions(asked).collect()) == [3, 500]
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_structured_ranks_against_brute_force(spark, monkeypatch, broadcast_rows):
+    """With and without the broadcast of the filter sets."""
+    monkeypatch.setattr(ranked_scan, "BROADCAST_ROWS", broadcast_rows)
     rows, amendments, people, legislators = _amendments(spark)
     party = {c: p for c, _, p in people}
     choices = {
@@ -66,6 +75,7 @@ def test_structured_ranks_against_brute_force(spark):
     random.seed(9)
     asked = random.sample(every, 150) + [{k: None for k in choices}]
     schema = "id_consulta int, ano int, ano_inicio int, ano_fim int, uf string, ufs array<string>, autor string, partido string, funcao string, subfuncao string, tipo_emenda string"
+    asked += asked[:40]  # the same filters asked again
     questions = spark.createDataFrame([(i, *x.values()) for i, x in enumerate(asked)], schema)
     got = {}
     for r in q.structured_ranks(questions, amendments, legislators, 6).orderBy("id_consulta", "posicao").collect():

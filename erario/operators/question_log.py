@@ -7,14 +7,19 @@ from erario.operators.aggregates import latency_stats
 
 
 def log_rows(results: DataFrame) -> DataFrame:
-    """Log records of answered questions; they always count as successful."""
+    """Log records of answered questions; they always count as successful.
+
+    Questions answered together have no latency of their own; it is logged when
+    the caller measured one.
+    """
+    latency = F.col("latencia_ms") if "latencia_ms" in results.columns else F.lit(None)
     return results.select(
         F.col("consulta").alias("consulta_nl"),
         F.to_json("entidades").alias("entidades_json"),
         F.lit(None).cast("string").alias("sql_gerada"),
         F.col("modo").alias("modo_busca"),
         F.col("num_resultados").cast("int").alias("num_resultados"),
-        F.col("latencia_ms").cast("int").alias("latencia_ms"),
+        latency.cast("int").alias("latencia_ms"),
         F.lit(True).alias("sucesso"),
         F.lit(None).cast("string").alias("erro"),
         F.current_timestamp().alias("created_at"),

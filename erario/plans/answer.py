@@ -34,11 +34,13 @@ def answer_questions(
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, rows): one summary per question and its ranked, linked rows.
 
-    ``classification`` (id, funcao, embedding) and ``corpus`` (id, embedding)
+    Questions that bring an ``entidades`` map (parsed replies) are taken as
+    interpreted; the others are interpreted by dictionary.  ``classification`` (id, funcao, embedding) and ``corpus`` (id, embedding)
     switch on the vector steps for areas that no dictionary resolves.  Frames
     used by several later steps are written to the shared scratch folder once.
     """
-    interpreted = written(interpret(questions, legislators), "interpretadas")
+    ready = questions if "entidades" in questions.columns else interpret(questions, legislators)
+    interpreted = written(ready.select("id_consulta", "consulta", "entidades"), "interpretadas")
     nearest = None if classification is None else nearest_functions(interpreted, classification, dim, threshold)
     filters = written(q.decompose(interpreted, nearest), "filtros")
     ranked = written(q.structured_ranks(filters, amendments, legislators, k), "posicoes")

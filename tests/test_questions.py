@@ -192,13 +192,18 @@ def test_answer_run_with_vectors(spark):
     assert (got[2].num_resultados, got[2].contexto, got[2].fontes) == (0, "Nenhum dado encontrado.", ["https://portaldatransparencia.gov.br"])
     assert all(r.source_url for r in found.collect())
 
-    texts = spark.createDataFrame([(i, "ferrovia norte" if i == 7 else f"texto {i}") for i in range(20)], "id int, texto string")
+    texts = spark.createDataFrame([(i, "ferrovia norte" if i == 7 else f"obra {i}") for i in range(20)], "id int, texto string")
     corpus = v.embed(texts, dim=512).select("id", "embedding")
-    unknown = spark.createDataFrame([(9, {"area": "ferrovia", "ano": "1990"})], "id_consulta int, entidades map<string,string>")
-    filters_ = q.decompose(unknown)
-    term = v.embed(filters_.select("id_consulta", "termo_vetorial"), "termo_vetorial", 512)
-    filled = v.hybrid_fill(q.structured_ranks(filters_, amendments, people, 5), term, corpus, 5)
-    assert [r.id for r in filled.collect()] == [7]
+    names = spark.createDataFrame([(1, "26", "estrada de ferro"), (2, "12", "ensino")], "id int, funcao string, texto string")
+    classes = v.embed(names, dim=512).select("id", "funcao", "embedding")
+    replies = [(1, "q1", '{"area": "Ferrovia", "ano": 1990}'), (2, "q2", '{"area": "ferro", "ano": 2021}'), (3, "q3", '{"area": "saude", "uf": "AC"}')]
+    parsed = q.parse_entities(spark.createDataFrame(replies, "id_consulta int, consulta string, resposta string"))
+    answers, found = answer_questions(parsed, amendments, people, classes, corpus, k=5, dim=512)
+    got = {r.id_consulta: (r.modo, r.num_resultados) for r in answers.collect()}
+    assert got == {1: ("hibrido", 1), 2: ("sql", 0), 3: ("sql", 5)}
+    assert [(r.id, r.origem) for r in found.filter("id_consulta = 1").collect()] == [(7, "vetorial")]
+    log = question_log.log_rows(answers).collect()
+    assert {(r.consulta_nl, r.modo_busca, r.num_resultados, r.sucesso) for r in log} == {("q1", "hibrido", 1, True), ("q2", "sql", 0, True), ("q3", "sql", 5, True)}
 
 
 def test_listing_pages(spark):

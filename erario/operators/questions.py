@@ -224,22 +224,47 @@ def _contains(text: Column, part: Column) -> Column:
     return F.when(wild, F.ilike(text, pattern)).otherwise(F.contains(F.lower(text), F.lower(part)))
 
 
+def _rest_tests() -> dict[str, Column]:
+    """Which conditions beyond the equal-filters a filter set carries."""
+    return {
+        "periodo": F.col("ano_inicio").isNotNull() & F.col("ano_fim").isNotNull(),
+        "estados": F.size("ufs") > 0,
+        "autor": F.col("_q_autor").isNotNull(),
+        "tipo": F.col("_q_tipo").isNotNull(),
+    }
+
+
+def _rest_checks() -> dict[str, Column]:
+    """Those conditions on an amendment; a set without the condition passes."""
+    tests = _rest_tests()
+    holds = {
+        "periodo": F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")),
+        "estados": F.array_contains("ufs", F.col("_uf")),
+        "autor": _contains(F.col("nome_autor"), F.col("_q_autor")),
+        "tipo": _contains(F.col("_tipo"), F.col("_q_tipo")),
+    }
+    return {name: ~F.coalesce(tests[name], F.lit(False)) | holds[name] for name in holds}
+
+
 def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: DataFrame, k: int = RESULT_LIMIT) -> DataFrame:
     """(id_consulta, id, posicao): the k largest amendments of every question, in one scan.
 
     A filter a question does not carry must match everything, which as a plain
     join condition would pair all questions with all rows.  Instead the distinct
     filter sets are grouped by *which* equal-filters they carry; every amendment
-    looks up one key per such group, so the join stays an equi-join.  Only the
-    number, id and amount of matching pairs move, cut to k per filter set before
-    the shuffle.
+    looks up one key per such group, so the join stays an equi-join.  The other
+    conditions, and the columns they read, take part only when some question
+    has them.  Only the number, id and amount of matching pairs move, cut to k
+    per filter set before the shuffle.
     """
     asked, sets = _filter_sets(questions)
     keys = _search_keys(sets)
-    groups = keys.groupBy("_mascara").agg(F.count("*").alias("n")).collect()  # at most 2**5 rows
+    carried = {name: F.count_if(test).alias(name) for name, test in _rest_tests().items()}
+    groups = keys.groupBy("_mascara").agg(F.count("*").alias("n"), *carried.values()).collect()  # at most 2**5 rows
     masks = sorted(row["_mascara"] for row in groups)
     size = sum(row["n"] for row in groups)
     used = [c for i, c in enumerate(EQUAL_COLUMNS) if any(m >> i & 1 for m in masks)]
+    checks = [check for name, check in _rest_checks().items() if any(row[name] for row in groups)]
 
     facts = with_party(amendments, legislators) if "partido" in used else amendments
     lookups = [
@@ -261,13 +286,7 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
         [F.col(f"_chave.{c}").eqNullSafe(F.col(f"_q_{c}")) for c in used],
         F.col("_chave.mascara") == F.col("_mascara"),
     )
-    rest = (
-        (F.col("ano_inicio").isNull() | F.col("ano_fim").isNull() | F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")))
-        & (F.coalesce(F.size("ufs"), F.lit(0)).isin(0, -1) | F.array_contains("ufs", F.col("_uf")))
-        & (F.col("_q_autor").isNull() | _contains(F.col("nome_autor"), F.col("_q_autor")))
-        & (F.col("_q_tipo").isNull() | _contains(F.col("_tipo"), F.col("_q_tipo")))
-    )
-    matched = probe.join(broadcast_if_bounded(keys, size), same & rest).select("_numero", "id", "valor_empenhado")
+    matched = probe.join(broadcast_if_bounded(keys, size), reduce(lambda a, b: a & b, checks, same)).select("_numero", "id", "valor_empenhado")
     order = Window.partitionBy("_numero").orderBy(F.col("valor_empenhado").desc_nulls_last(), F.asc("id"))
     best = matched.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)
     named = sets.select("_numero", "_filtro").join(best.select("_numero", "id", "posicao"), "_numero")

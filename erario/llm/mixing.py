@@ -22,6 +22,8 @@ SHARE = (3, 2)
 MOST = 2
 BLOCK_WORDS = 256
 SHARD_SLOTS = 65_536
+#: Slots are mapped to blocks in runs of at most so many, dealt out over the tasks.
+TASK_SLOTS = 16_384
 GROUP_DOCS = 2048
 ROUNDS = 6
 SEED = "mix"
@@ -90,7 +92,11 @@ def draws(sources: DataFrame) -> DataFrame:
 def mixed_slots(sources: DataFrame) -> DataFrame:
     """``shard, no, slot, block``: the mix itself, a source's block for every slot; no block comes more than ``MOST`` times."""
     last = F.least(F.col("first") + F.col("slots"), F.col("blocks") * MOST) - 1
-    drawn = draws(sources).withColumn("last", last).filter(F.col("first") <= F.col("last")).repartition(F.col("shard"), F.col("no"))
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    tasks = max(1, int(words / BLOCK_WORDS / TASK_SLOTS))
+    edges = F.sequence(F.col("first"), F.col("last"), F.lit(TASK_SLOTS).cast("long"))
+    drawn = draws(sources).withColumn("last", last).filter(F.col("first") <= F.col("last")).withColumn("first", F.explode(edges))
+    drawn = drawn.withColumn("last", F.least("last", F.col("first") + TASK_SLOTS - 1)).repartition(tasks, "no", "first")
     slots = drawn.withColumn("slot", F.explode(F.sequence("first", "last")))
     key = F.concat(F.lit(f"{SEED}:"), F.col("no").cast("string"), F.lit(":"), F.floor(F.col("slot") / F.col("blocks")).cast("string"))
     return slots.select("shard", "no", "slot", shuffled(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
@@ -118,7 +124,8 @@ def _taken_parts(placed: DataFrame, sources: DataFrame) -> DataFrame:
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     uses = mixed_slots(sources).groupBy("no", "block").agg(F.count("*").alias("uses"))
     lo, hi = F.greatest("start", F.col("block") * BLOCK_WORDS), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
-    joined = parts.join(uses, ["no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
+    # The uses come from a table of a few rows that was spread out, so Spark thinks them small; they grow with the documents.
+    joined = parts.join(uses.hint("merge"), ["no", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
     return joined.withColumn("part_start", lo - F.col("start")).withColumn("part_words", hi - lo)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erario.llm.common import TRIMMED, rows, texts
+from erario.llm.common import TRIMMED, raw_texts, rows
 from erario.sources.writers import written
 
 SHORTEST_KEY = 20
@@ -24,14 +24,14 @@ LINES = pa.schema([("doc_id", pa.int64()), ("key", pa.string())])
 CLEANED = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string())])
 
 
-def keys(text: str) -> list[str]:
-    """The key of each line of a text."""
-    return [line.strip(TRIMMED) for line in (text.lower() if text.isascii() else text.translate(UPPER)).split("\n")]
+def keys(text: bytes) -> list[bytes]:
+    """The key of each line of a text in UTF-8, where ``lower`` changes A-Z alone."""
+    return [line.strip(TRIMMED.encode()) for line in text.lower().split(b"\n")]
 
 
-def repeatable(text: str) -> set[str]:
-    """The distinct keys of a text that are long enough to be dropped."""
-    return {key for key in keys(text) if len(key) >= SHORTEST_KEY}
+def repeatable(text: bytes) -> set[bytes]:
+    """The distinct keys of a text that are long enough to be dropped; a character has four bytes at most."""
+    return {key for key in keys(text) if len(key) >= SHORTEST_KEY and (len(key) >= 4 * SHORTEST_KEY or len(key.decode()) >= SHORTEST_KEY)}
 
 
 class Filters:
@@ -60,7 +60,7 @@ class Filters:
             np.bitwise_or.at(bits, word, bit)
 
 
-def hashed(found: set[str] | list[str]) -> list[int]:
+def hashed(found: set[bytes] | list[bytes]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(key) for key in found]
 
 
@@ -76,7 +76,7 @@ def suspect_bits(docs: DataFrame) -> np.ndarray:
     def fill(batches):
         own, some = Filters(), False
         for batch in batches:
-            found = [h for text in texts(batch) for h in hashed(repeatable(text))]
+            found = [h for text in raw_texts(batch) for h in hashed(repeatable(text))]
             if found:
                 own.add(np.array(found, np.uint64))
                 some = True
@@ -111,12 +111,12 @@ def suspects(docs: DataFrame) -> DataFrame:
         bits = shared.value
         for batch in batches:
             ids, found, of = batch.column("doc_id").to_pylist(), [], []
-            for doc_id, text in zip(ids, texts(batch), strict=True):
+            for doc_id, text in zip(ids, raw_texts(batch), strict=True):
                 own = repeatable(text)
                 found.extend(own)
                 of.extend([doc_id] * len(own))
             keep = np.flatnonzero(Filters.holds(bits, np.array(hashed(found), np.uint64))) if found else ()
-            yield rows(LINES, doc_id=[of[i] for i in keep], key=[found[i] for i in keep])
+            yield rows(LINES, doc_id=[of[i] for i in keep], key=pa.array([found[i] for i in keep], pa.binary()).cast(pa.string()))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(select, "doc_id long, key string")
 
@@ -125,11 +125,12 @@ def dropped_keys(docs: DataFrame) -> DataFrame:
     """``doc_id, keys``: the line keys that each document loses.
 
     Suspects are counted by whole key; a key of enough documents stays only in the largest
-    doc_id.  The count is summed before the shuffle, and the join back is a plain one that
-    Spark splits where a key is hot.
+    doc_id.  The count is summed before the shuffle and stored, so the join back is a plain one
+    that Spark splits where a key is hot.
     """
     found = written(suspects(docs), "suspects")
     counted = found.groupBy("key").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper")).filter(F.col("documents") >= LEAST_DOCUMENTS)
+    counted = written(counted, "counted")
     lost = found.join(counted, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -139,13 +140,13 @@ def _with_lost(docs: DataFrame) -> DataFrame:
     return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["__lost_id"]), "left").drop("__lost_id")
 
 
-def rewritten(text: str, lost: list[str] | None) -> tuple[int, str]:
+def rewritten(text: bytes, lost: list[str] | None) -> tuple[int, bytes]:
     """How many lines go, and what stays of a text."""
     if not lost:
         return 0, text
-    gone, lines = set(lost), text.split("\n")
+    gone, lines = {key.encode() for key in lost}, text.split(b"\n")
     kept = [line for line, key in zip(lines, keys(text), strict=True) if key not in gone]
-    return len(lines) - len(kept), "\n".join(kept)
+    return len(lines) - len(kept), b"\n".join(kept)
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
@@ -158,9 +159,9 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
     def rewrite(batches):
         for batch in batches:
-            own = texts(batch)
+            own = raw_texts(batch)
             done = [rewritten(text, lost) for text, lost in zip(own, batch.column("__lost").to_pylist(), strict=True)]
-            yield rows(CLEANED, doc_id=batch.column("doc_id"), n_lines=[text.count("\n") + 1 for text in own], n_dropped=[n for n, _ in done], kept_text=[kept for _, kept in done])
+            yield rows(CLEANED, doc_id=batch.column("doc_id"), n_lines=[text.count(b"\n") + 1 for text in own], n_dropped=[n for n, _ in done], kept_text=pa.array([kept for _, kept in done], pa.binary()).cast(pa.string()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _with_lost(own).mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept_text string")
@@ -174,7 +175,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
             lost = batch.column("__lost").to_pylist()
             batch = batch.drop_columns(["__lost"])
             old = batch.column("text").to_pylist()
-            new = [text if text is None or not gone else rewritten(text, gone)[1] for text, gone in zip(old, lost, strict=True)]
+            new = [text if text is None or not gone else rewritten(text.encode(), gone)[1].decode() for text, gone in zip(old, lost, strict=True)]
             changed = {"text": pa.array(new, batch.schema.field("text").type)}
             if "n_chars" in batch.schema.names:
                 sizes = [n if a == b else len(b) for a, b, n in zip(old, new, batch.column("n_chars").to_pylist(), strict=True)]

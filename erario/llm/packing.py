@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from erario.llm.common import Memo, rows, texts
+from erario.llm.token_counts import byte_letters
 from erario.sources.writers import written
 
 CAPACITY = 2048
@@ -20,7 +22,9 @@ CAPACITY = 2048
 SHORTEST_CUT = 64
 #: Pieces of a class are numbered in groups of about so many.
 GROUP_PIECES = 4096
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Separators that Python alone takes for white space; letters that it lower-cases by their place.
+ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+MARKS = ".,;:!?|"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("tail", pa.binary())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tail binary"
 
@@ -28,9 +32,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Identifiers of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The vocabulary parts words at white space and drops it, so every run without white space
-    is encoded by itself and once a worker; a text with separators that Python alone takes
-    for white space is encoded whole.
+    The vocabulary lower-cases, parts words at white space and drops it, so runs without white
+    space are encoded by themselves and once a worker.  A run of letters, with or without marks
+    after it, is one word of the vocabulary's model and one of marks.  Texts on which Python
+    and the vocabulary might part or lower-case unlike each other are encoded whole.
     """
 
     def __init__(self, path: str, last: int):
@@ -38,17 +43,26 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.last = Tokenizer.from_file(path), np.array([last], "<u4").tobytes()
-        self.known = Memo(lambda run: self.encoded([run])[0])
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.words, self.marks, self.runs = Memo(self.of_word, 600_000), Memo(self.encoded, 10_000), Memo(self.of_run, 300_000)
 
-    def encoded(self, runs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+    def encoded(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of_texts(self, batch: list[str]):
-        for text in batch:
-            if SEPARATORS.search(text):
-                yield self.encoded([text])[0] + self.last
-                continue
-            yield b"".join([*map(self.known.__getitem__, text.split()), self.last])
+    def of_word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return np.array([token.id for token in self.model.tokenize(spelled)], "<u4").tobytes()
+
+    def of_run(self, run: str) -> bytes:
+        word = run.rstrip(MARKS)
+        if not word.isalpha():
+            return self.encoded(run)
+        return self.words[word] + (self.marks[run[len(word) :]] if len(word) < len(run) else b"")
+
+    def of_text(self, text: str) -> bytes:
+        if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            return self.encoded(text) + self.last
+        return b"".join([*map(self.runs.__getitem__, text.lower().split()), self.last])
 
 
 @functools.cache
@@ -75,7 +89,7 @@ def pieces(docs: DataFrame, path: str, last: int = 1) -> DataFrame:
         words = word_ids(path, last)
         for batch in batches:
             out = {name: [] for name in SCHEMA.names}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.of_texts(texts(batch)), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(words.of_text, texts(batch)), strict=True):
                 n = len(ids) // 4
                 for start, length in cuts(n):
                     part = ids[4 * start : 4 * (start + length)]

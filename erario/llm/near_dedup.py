@@ -22,14 +22,11 @@ from erario.llm.components import roots
 from erario.sources.writers import written
 
 SKETCH = 64
-#: Sketch values whose neighbours are list keys.
-KEYED = 33
+#: Sketch values whose runs of ``RUN`` neighbours are list keys; sets of fewer than ``TINY`` shingles also have runs of two.
+KEYED, RUN, TINY = 48, 3, 10
 #: An estimate lies this far under the threshold for a true link with a chance under 1e-6.
 SLACK = 0.25
 STAR_ROUNDS = 2
-#: Lists above this size are parted by a second shared key before pairs are made.
-SMALL_LIST = 64
-SPLITS = 2
 NODE_BYTES = 12
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -79,12 +76,17 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """``key, node``: the lists with two nodes or more."""
+    """``key, node, n_shingles``: the lists with two nodes or more."""
     values = F.slice("sketch", 1, KEYED)
-    keys = F.array_distinct(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.xxhash64(a, b)))
-    listed = nodes.filter("n_shingles > 1").select("node", F.explode(keys).alias("key"))
+
+    def runs(length: int) -> Column:
+        last = F.size(values) - length
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(values, i + 1, length)))).otherwise(F.array().cast("array<long>"))
+
+    keys = F.when(F.col("n_shingles") < TINY, F.concat(runs(RUN), runs(2))).otherwise(runs(RUN))
+    listed = nodes.filter("n_shingles > 1").select("node", "n_shingles", F.explode(keys).alias("key"))
     shared = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return listed.join(shared, "key").select("key", "node")
+    return listed.join(shared, "key").select("key", "node", "n_shingles")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -136,33 +138,16 @@ def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, tu
     return met.groupBy("node").agg(F.min(F.struct("order", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, node, component, size`` of the lists that hold more than one component."""
+def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of a list in different components that were not tested and whose sizes allow a link."""
     named = lists.join(labels, "node")
-    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).filter("least != most")
-    return named.join(mixed.select("key", "size"), "key")
-
-
-def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """All pairs of a list in different components that were not tested; long lists are parted by a second key first."""
-    current, small = written(open_lists(lists, labels), "open"), []
-    for _ in range(SPLITS):
-        small.append(current.filter(F.col("size") <= SMALL_LIST).drop("size"))
-        large = current.filter(F.col("size") > SMALL_LIST)
-        if large.isEmpty():
-            current = None
-            break
-        again = large.select("node", F.col("key").alias("key1")).join(lists, "node").filter(F.col("key") != F.col("key1"))
-        finer = again.select(F.xxhash64(F.least("key1", "key"), F.greatest("key1", "key")).alias("key"), "node").distinct()
-        current = written(open_lists(finer, labels), "open")
-    if current is not None:
-        small.append(current.drop("size"))
-    pairs = None
-    for part in small:
-        other = part.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-        made = part.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))).select("a", "b")
-        pairs = made if pairs is None else pairs.unionByName(made)
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
+    mixed = written(named.join(mixed, "key"), "open")
+    other = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("n_b"))
+    fits = 100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
+    made = mixed.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
+    pairs = made.select("a", "b").distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -183,7 +168,7 @@ def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     labels = written(lists.select("node").distinct().withColumn("component", F.col("node")), "labels")
     tested = None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(lists, labels, tested), "pairs")
+        pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(lists, labels, tested, percent), "pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)

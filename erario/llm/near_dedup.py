@@ -26,7 +26,7 @@ SKETCH = 64
 KEYED, RUN, TINY = 48, 3, 10
 #: An estimate lies this far under the threshold for a true link with a chance under 1e-6.
 SLACK = 0.25
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 NODE_BYTES = 12
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -76,7 +76,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """``key, node, n_shingles``: the lists with two nodes or more."""
+    """``key, node, n_shingles, company``: the lists with two nodes or more; ``company`` is the summed length of a node's lists.
+
+    In a group of copies the text they were made from shares the most runs, so it keeps the most company.
+    """
     values = F.slice("sketch", 1, KEYED)
 
     def runs(length: int) -> Column:
@@ -85,8 +88,10 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
 
     keys = F.when(F.col("n_shingles") < TINY, F.concat(runs(RUN), runs(2))).otherwise(runs(RUN))
     listed = nodes.filter("n_shingles > 1").select("node", "n_shingles", F.explode(keys).alias("key"))
-    shared = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return listed.join(shared, "key").select("key", "node", "n_shingles")
+    shared = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = written(listed.join(shared, "key"), "listed")
+    company = listed.groupBy("node").agg(F.sum("n").alias("company"))
+    return listed.join(company, "node").select("key", "node", "n_shingles", "company")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -128,14 +133,20 @@ def _ordered_pair(one: Column, other: Column) -> list[Column]:
 
 
 def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """One candidate a node: the first hub, in this turn's order, among its lists' hubs in other components."""
+    """Nodes with hubs of their lists in other components: at most a pair for each place in a list.
+
+    At first a list's hub is the node that keeps the most company, and a node takes the best
+    of its hubs alone; later each list draws a hub of its own, so a node that missed the
+    first hub meets many others of its group at once.
+    """
     named = lists.join(labels, "node")
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component")))
+    order = -F.col("company") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
+    first = F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component")))
     hubs = named.groupBy("key").agg(first.alias("h"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key", "h.*")
-    met = named.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select("node", "hub", "order", *_ordered_pair(F.col("node"), F.col("hub")))
-    if tested is not None:
-        met = met.join(tested, ["a", "b"], "left_anti")
-    return met.groupBy("node").agg(F.min(F.struct("order", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    met = named.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select("node", "order", *_ordered_pair(F.col("node"), F.col("hub")))
+    if turn == 0:
+        return met.groupBy("node").agg(F.min(F.struct("order", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    return met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti") if tested is not None else met.select("a", "b").distinct()
 
 
 def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:

@@ -22,7 +22,8 @@ from erario.sources.writers import written
 #: The classifier is fitted on about so many labelled rows, chosen by a hash.
 TRAINING_ROWS = 20_000
 #: A term speaks for toxic text if it stands in so many distinct training texts and at least so surely.
-LEAST_SUPPORT, LEAST_SURE, PRIOR_ROWS = 4, 0.6, 1.0
+LEAST_SUPPORT, LEAST_SURE, PRIOR_ROWS = 6, 0.8, 1.0
+MARK_WORDS = 6
 #: The largest number of terms of a model, and the lengths of the word beginnings that are terms too.
 MOST_TERMS, STEMS = 20_000, (4, 5, 6)
 
@@ -79,7 +80,7 @@ def options(text: str, i: int) -> list[tuple[str, float]]:
             found.append(("", REPEAT_COST if not (i > 1 and text[i - 2] == c) else 0.1))
         return found
     found += [(letter, LOOKALIKE_COST) for letter in LOOKALIKES.get(c, "")]
-    found.append(("", MARK_COST if c in " .-_*~" else 2.5 if c.isdigit() else 1.5))
+    found.append(("", MARK_COST if c in " .-_*~" else 2.5 if c == "!" else 6.0))
     return found
 
 
@@ -153,7 +154,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_words(docs: DataFrame, labels: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """``toxic, words`` of the labelled texts that may be learned from; of texts that open on the same smallest hash, near copies, one stays."""
+    """``toxic, words`` of the labelled texts that may be learned from; of texts whose smallest word hashes are the same, near copies, one stays."""
     usable = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     rate = min(1.0, TRAINING_ROWS / max(1, usable.count()))
     sample = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -166,7 +167,7 @@ def training_words(docs: DataFrame, labels: DataFrame, counts: dict[str, int]) -
             yield rows(schema, toxic=batch.column("toxic"), words=[sorted(restorer.words(text)) for text in texts(batch)])
 
     found = own.select("toxic", "text").mapInArrow(split, "toxic int, words array<string>")
-    mark = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
+    mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, MARK_WORDS)
     return found.withColumn("mark", mark).dropDuplicates(["mark", "toxic"]).drop("mark")
 
 

@@ -39,7 +39,7 @@ class Memo(dict):
     Keys longer than ``longest`` are worked out every time.
     """
 
-    def __init__(self, work: Callable, limit: int = 400_000, longest: int = 64):
+    def __init__(self, work: Callable, limit: int = 200_000, longest: int = 64):
         super().__init__()
         self.work, self.limit, self.longest = work, limit, longest
 

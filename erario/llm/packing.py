@@ -44,7 +44,7 @@ class WordIds:
 
         self.tokenizer, self.last = Tokenizer.from_file(path), np.array([last], "<u4").tobytes()
         self.letters, self.model = byte_letters(), self.tokenizer.model
-        self.words, self.marks, self.runs = Memo(self.of_word, 600_000), Memo(self.encoded, 10_000), Memo(self.of_run, 300_000)
+        self.words, self.marks, self.runs = Memo(self.of_word, 300_000), Memo(self.encoded, 10_000), Memo(self.of_run, 150_000)
 
     def encoded(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()

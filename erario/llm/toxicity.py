@@ -112,7 +112,7 @@ class Restorer:
 
     def __init__(self, counts: dict[str, int]):
         self.model = CharacterModel(counts)
-        self.known = Memo(self._restored, limit=200_000)
+        self.known = Memo(self._restored, limit=50_000)
 
     def _restored(self, stretch: str) -> tuple[str, ...]:
         """A long stretch is no single word: its parts between blanks are restored one by one."""

@@ -173,9 +173,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         part = lambda p: F.slice(words, (p["part_start"] + 1).cast("int"), p["part_words"].cast("int"))
         return F.array_join(F.flatten(F.transform("mix_parts", lambda p: F.flatten(F.array_repeat(part(p), p["uses"].cast("int"))))), "")
 
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    # A blank before the text lets every word bring one; the result's first blank goes again.
+    words = F.regexp_extract_all(F.concat(F.lit("\n"), F.col("text")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     taken = F.transform(F.array(words), slices)[0]  # so that a text is split once, not once a part
-    changed = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(taken))
+    changed = joined.withColumn("mix_text", F.when(~whole, taken)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.expr("substring(mix_text, 2)")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)

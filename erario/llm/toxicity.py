@@ -22,7 +22,7 @@ from erario.sources.writers import written
 #: The classifier is fitted on about so many labelled rows, chosen by a hash.
 TRAINING_ROWS = 20_000
 #: A term speaks for toxic text if it stands in so many distinct training texts and at least so surely.
-LEAST_SUPPORT, LEAST_SURE, PRIOR_ROWS = 6, 0.8, 1.0
+LEAST_SUPPORT, LEAST_SURE, PRIOR_ROWS = 4, 0.8, 1.0
 MARK_WORDS = 6
 #: The largest number of terms of a model, and the lengths of the word beginnings that are terms too.
 MOST_TERMS, STEMS = 20_000, (4, 5, 6)

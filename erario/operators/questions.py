@@ -14,6 +14,7 @@ from erario.functions.fixed_values import (
     STATE_CODES,
     SUBFUNCTION_TERMS,
 )
+from erario.functions.text import strip
 from erario.operators.filters import with_party
 from erario.operators.ranked_scan import broadcast_if_bounded
 from erario.sources.writers import written
@@ -28,8 +29,8 @@ SHORTEST_QUESTION, LONGEST_QUESTION = 3, 500
 
 
 def valid_questions(questions: DataFrame) -> DataFrame:
-    """Questions of an accepted length."""
-    return questions.filter(F.length("consulta").between(SHORTEST_QUESTION, LONGEST_QUESTION))
+    """All questions, with ``valida``: whether the length is an accepted one; a null question is not valid."""
+    return questions.withColumn("valida", F.coalesce(F.length("consulta").between(SHORTEST_QUESTION, LONGEST_QUESTION), F.lit(False)))
 
 
 def parse_entities(replies: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def _year(name: str) -> Column:
 
 def unresolved_areas(questions: DataFrame) -> DataFrame:
     """Distinct area terms the dictionary does not know; only these need vectors."""
-    area = F.trim(F.lower(_entity("area")))
+    area = strip(F.lower(_entity("area")))
     return questions.select(area.alias("area")).filter(dictionary.resolve_area(F.col("area")).isNull() & F.col("area").isNotNull()).distinct()
 
 
@@ -150,7 +151,7 @@ def decompose(questions: DataFrame, nearest: DataFrame | None = None) -> DataFra
     """
     start, end = _year("ano_inicio"), _year("ano_fim")
     both = start.isNotNull() & end.isNotNull()
-    region, area = dictionary.resolve_region(_entity("uf")), F.trim(F.lower(_entity("area")))
+    region, area = dictionary.resolve_region(_entity("uf")), strip(F.lower(_entity("area")))
     code = dictionary.resolve_area(area)
     typed = questions.withColumns(
         {

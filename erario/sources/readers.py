@@ -66,14 +66,17 @@ def read_classification(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schemas.RAW_CLASSIFICATION, sep=";", header=True, encoding="UTF-8")
 
 
-def read_years(spark: SparkSession, folder: str, first: int = 2020, last: int = 2024) -> DataFrame:
+def read_years(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Yearly inputs ``emendas_YYYY.json``, a file or a folder of files that each hold one JSON array.
 
-    The year comes from the name, not from the record; absent years are skipped.
+    The year comes from the name, not from the record; absent years are skipped.  Without
+    bounds all years are read.
     """
     raw = read_json_array(spark, f"{folder}/*emendas_[0-9][0-9][0-9][0-9].json", schemas.RAW_AMENDMENTS)
     year = F.regexp_extract(F.col("_metadata.file_path"), r"emendas_([0-9]{4})\.json", 1).cast("int")
-    return raw.withColumn("ano", year).filter(F.col("ano").between(first, last))
+    rows = raw.withColumn("ano", year)
+    rows = rows if first is None else rows.filter(F.col("ano") >= first)
+    return rows if last is None else rows.filter(F.col("ano") <= last)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def replace_partitions(df: DataFrame, path: str, partition_by: str = "ano") -> N
 
 def write_report(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Metric rows as JSON lines; metrics are small, so one file."""
-    metrics.coalesce(1).write.mode(mode).json(path)
+    metrics.repartition(1).write.mode(mode).json(path)
 
 
 def append_log(records: DataFrame, path: str) -> None:

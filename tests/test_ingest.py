@@ -66,7 +66,8 @@ def test_classification_csv(spark, tmp_path):
 def test_yearly_files_skip_absent_years(spark, tmp_path):
     for year in (2019, 2021, 2024):
         (tmp_path / f"emendas_{year}.json").write_text(json.dumps([dict(RECORD, ano=None)], indent=1), encoding="utf-8")
-    assert sorted(r.ano for r in readers.read_years(spark, str(tmp_path)).collect()) == [2021, 2024]
+    assert sorted(r.ano for r in readers.read_years(spark, str(tmp_path)).collect()) == [2019, 2021, 2024]
+    assert sorted(r.ano for r in readers.read_years(spark, str(tmp_path), 2020, 2024).collect()) == [2021, 2024]
 
 
 def test_first_and_last_win(spark):

@@ -4,7 +4,8 @@ A sketch holds the k smallest hashes of a document's shingles.  Its neighbouring
 the keys of the inverted lists: sets that are alike at 0.8 or more share a run of two values
 for certain while the sketches hold the whole sets, and but for chances under 1e-9 else.
 Lists give candidates in rounds, each node against one hub, so that groups of copies never
-give all their pairs; what then still lies in different components is compared pair by pair.
+give all their pairs.  What then still lies in different components is compared pair by pair
+in short lists; in long ones whole sets meet by their rarest shingles, which loses no link.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ KEYED, RUN, TINY = 48, 3, 10
 #: An estimate lies this far under the threshold for a true link with a chance under 1e-6.
 SLACK = 0.25
 STAR_ROUNDS = 3
+#: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.
+SHORT = 16
 NODE_BYTES = 12
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -149,18 +152,40 @@ def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, tu
     return met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti") if tested is not None else met.select("a", "b").distinct()
 
 
-def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs of a list in different components that were not tested and whose sizes allow a link."""
+def remaining_pairs(docs: DataFrame, nodes: DataFrame, lists: DataFrame, labels: DataFrame, tested: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """The pairs of a list in different components that were not tested: of a short list all, of a long one those that may reach the threshold."""
     named = lists.join(labels, "node")
-    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
+    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("length")).filter("least != most").select("key", "length")
     mixed = written(named.join(mixed, "key"), "open")
-    other = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("n_b"))
+    short = mixed.filter(F.col("length") <= SHORT)
+    other = short.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("n_b"))
     fits = 100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
-    made = mixed.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
-    pairs = made.select("a", "b").distinct()
+    few = short.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits).select("a", "b")
+    crowd = mixed.filter(F.col("length") > SHORT).select("node").distinct()
+    crowd = written(full_sets(docs, crowd, nodes, width), "crowd").join(labels, "node")
+    pairs = few.unionByName(prefix_pairs(crowd, percent)).distinct()
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``node, shingles, component`` in different components whose whole sets may reach the threshold; none that does is missing.
+
+    Shingles are taken in one order, the rarest first.  A pair that reaches the threshold has
+    its first common shingle among the rarest of both, so early that enough shingles follow in
+    each: a text whose own wording fills more than that is paired with none of its group.
+    """
+    single = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = single.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    ordered = single.join(held, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
+    first = ordered.filter(length > 0).select("node", "component", "n", own.alias("own"), F.posexplode(F.slice("common", F.lit(1), length.cast("int"))).alias("place", "c"))
+    left = written(first.select(F.col("c.shingle").alias("shingle"), "node", "component", "n", (F.col("n") - F.col("own") - F.col("place")).alias("left")), "prefixes")
+    a, b = (left.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left")]) for x in "ab")
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    return a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -179,7 +204,7 @@ def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     labels = written(lists.select("node").distinct().withColumn("component", F.col("node")), "labels")
     tested = None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(lists, labels, tested, percent), "pairs")
+        pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(docs, nodes, lists, labels, tested, width, percent), "pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -179,6 +179,23 @@ def test_near_dedup(docs, none, documents):
     assert near_dedup.link(none).count() == 0 and near_dedup.first_of_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("short", [0, 16])
+def test_near_dedup_crowd(spark, monkeypatch, short):
+    """Edits of one text, near to it and to each other or not: no link is lost in lists of any length."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    rows = []
+    for i in range(160):
+        words = list(base if i % 4 or i < 8 else rows[-4][1].split())
+        for at in rng.integers(0, len(words), int(rng.integers(0, 16))):
+            words[at] = f"w{rng.integers(0, 400)}"
+        rows.append((i, " ".join(words)))
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_components(rows, 2)
+
+
 def test_toxicity(spark, docs, none):
     folder = "/root/testdata/sf0.1"
     documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

@@ -27,7 +27,7 @@ SKETCH = 64
 KEYED, RUN, TINY = 48, 3, 10
 #: An estimate lies this far under the threshold for a true link with a chance under 1e-6.
 SLACK = 0.25
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.
 SHORT = 16
 NODE_BYTES = 12

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from erario.sources.writers import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of edges: equal for equal sets."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to the smallest node of its component: no node has two targets, or is both an origin and a target."""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not nodes.agg(F.bool_or((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
     return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
@@ -27,18 +33,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
 
+def near_roots(edges: DataFrame) -> DataFrame:
+    """``a, b``: each node with the smallest node that two links reach; enough to join a star whose hub is any node.
+
+    Two passes of summed minima, where ``roots`` takes as many as the longest chain asks for.
+    """
+    both = written(_both_ways(edges.filter(F.col("a") != F.col("b"))).distinct(), "both")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    return both.join(least.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("least").alias("b")).filter("b < a")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """``a, b``: each node that is not the smallest of its component, with the smallest.
 
-    Large and small stars alternate until nothing changes; every turn is stored in the shared
-    folder, which cuts the lineage.  A hot node's edges are summed before they travel.
+    Large and small stars alternate until only stars are left; every turn is stored in the
+    shared folder, which cuts the lineage.  A hot node's edges are summed before they travel.
     """
     smaller, larger = F.least("a", "b"), F.greatest("a", "b")
     edges = written(edges.filter(F.col("a") != F.col("b")).select(larger.alias("a"), smaller.alias("b")).distinct(), "edges")
-    state = _state(edges)
-    while True:
+    while not _all_stars(edges):
         edges = written(_small_star(_large_star(edges)), "edges")
-        new = _state(edges)
-        if new == state:
-            return edges
-        state = new
+    return edges

@@ -4,8 +4,10 @@ A sketch holds the k smallest hashes of a document's shingles.  Its neighbouring
 the keys of the inverted lists: sets that are alike at 0.8 or more share a run of two values
 for certain while the sketches hold the whole sets, and but for chances under 1e-9 else.
 Lists give candidates in rounds, each node against one hub, so that groups of copies never
-give all their pairs.  What then still lies in different components is compared pair by pair
-in short lists; in long ones whole sets meet by their rarest shingles, which loses no link.
+give all their pairs.  Between rounds, nodes are joined as far as two links reach; the
+components come from all confirmed links at the end.  What the rounds leave in different
+components is compared pair by pair in short lists; in long ones whole sets meet by their
+rarest shingles, which loses no link.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erario.llm.common import Memo, raw_texts, rows
-from erario.llm.components import roots
+from erario.llm.components import near_roots, roots
 from erario.sources.writers import written
 
 SKETCH = 64
@@ -186,6 +188,18 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links as ``a, b`` of the components of their ends."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    return links.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+
+
+def merged(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """The labels with components named after those they were joined to."""
+    joined = joined.withColumnsRenamed({"a": "component", "b": "root"})
+    return labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
 def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -202,7 +216,7 @@ def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     nodes = written(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     lists = written(inverted_lists(nodes), "lists")
     labels = written(lists.select("node").distinct().withColumn("component", F.col("node")), "labels")
-    tested = None
+    tested = links = None
     for turn in range(STAR_ROUNDS + 1):
         pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(docs, nodes, lists, labels, tested, width, percent), "pairs")
         if pairs.isEmpty():
@@ -212,11 +226,12 @@ def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         if close.isEmpty():
             continue
         wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-        linked = verified(close, written(full_sets(docs, wanted, nodes, width), "sets"), percent)
-        a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-        joined = roots(linked.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-        merged = joined.withColumnsRenamed({"a": "component", "b": "root"})
-        labels = written(labels.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        linked = written(verified(close, written(full_sets(docs, wanted, nodes, width), "sets"), percent), "linked")
+        links = linked if links is None else links.unionByName(linked)
+        if turn < STAR_ROUNDS:
+            labels = written(merged(labels, near_roots(between(linked, labels))), "labels")
+    if links is not None:
+        labels = merged(labels, roots(between(links, labels)))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")

@@ -16,15 +16,13 @@ from erario.functions.fixed_values import (
 )
 from erario.functions.text import strip
 from erario.operators.filters import with_party
-from erario.operators.ranked_scan import broadcast_if_bounded
 from erario.sources.writers import written
 
 FILTER_SCHEMA = {
     "ano": "int", "ano_inicio": "int", "ano_fim": "int", "uf": "string", "ufs": "array<string>", "autor": "string",
     "partido": "string", "funcao": "string", "subfuncao": "string", "tipo_emenda": "string",
 }
-EQUAL_COLUMNS = ["ano", "uf", "partido", "funcao", "subfuncao"]
-WIDEST_YEAR_LIST = 400
+KEY_COLUMNS = ["ano", "uf", "partido", "funcao", "subfuncao", "nome_autor", "tipo_emenda"]
 SHORTEST_QUESTION, LONGEST_QUESTION = 3, 500
 
 
@@ -85,20 +83,21 @@ def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(id_consulta, consulta) -> one column per entity, by dictionary matching.
 
     The first word of a term decides which word sequences of a question are
-    looked up at all; those meet the dictionary in an equi-join.  Per field the
+    looked up at all; those meet the dictionary in an equi-join.  A word carries
+    no more of its question than the longest term has words.  Per field the
     match with most words wins, then the longest, then the earliest.  One year gives ``ano``, several give
     ``ano_inicio`` and ``ano_fim``.
     """
     terms = terms.withColumn("_partes", _words("termo")).filter(F.size("_partes") > 0)
     terms = terms.select(F.array_join("_partes", " ").alias("termo"), "campo", "valor", F.col("_partes")[0].alias("_inicio"), F.size("_partes").alias("n"))
-    size = terms.count()
-    openings = broadcast_if_bounded(terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos")), size)
-    terms = broadcast_if_bounded(terms.select("termo", "campo", "valor", "n"), size)
-    asked = questions.select("id_consulta", _words("consulta").alias("_palavras"))
-    starts = asked.select("id_consulta", "_palavras", F.posexplode("_palavras").alias("i", "_inicio"))
-    sized = starts.join(openings, "_inicio").withColumn("n", F.explode("_tamanhos")).filter(F.col("i") + F.col("n") <= F.size("_palavras"))
-    grams = sized.select("id_consulta", "i", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
-    matched = grams.join(terms, "termo")
+    openings = terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos"))
+    longest = F.lit(terms.agg(F.max("n")).first()[0] or 0)
+    words = questions.select("id_consulta", _words("consulta").alias("_palavras"))
+    stretches = F.transform("_palavras", lambda _, i: F.slice("_palavras", i + 1, longest))
+    starts = words.select("id_consulta", F.posexplode(stretches).alias("i", "_trecho")).withColumn("_inicio", F.get("_trecho", F.lit(0)))
+    sized = starts.join(openings, "_inicio").withColumn("n", F.explode("_tamanhos")).filter(F.col("n") <= F.size("_trecho"))
+    grams = sized.select("id_consulta", "i", F.array_join(F.slice("_trecho", F.lit(1), F.col("n")), " ").alias("termo"))
+    matched = grams.join(terms.select("termo", "campo", "valor", "n"), "termo")
     fields = ["autor", "partido", "uf", "area", "tipo_emenda", "operacao"]
     best = F.struct(F.col("n"), F.length("termo"), -F.col("i"))
     chosen = matched.groupBy("id_consulta").agg(
@@ -191,47 +190,66 @@ def _filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("id_consulta", "_filtro"), written(sets.withColumn("_numero", F.monotonically_increasing_id()), "filtros")
 
 
-def _search_keys(q: DataFrame) -> DataFrame:
-    """One row per filter set and combination of equal-key values; null keys filter nothing."""
-    span = F.col("ano_fim") - F.col("ano_inicio")
+def _contains(text: Column, part: Column) -> Column:
+    """ILIKE '%part%' with a per-row pattern; only texts with wildcards pay for the pattern match."""
+    wild = part.rlike(r"[%_\\]")
+    pattern = F.concat(F.lit("%"), part, F.lit("%"))
+    return F.when(wild, F.ilike(text, pattern)).otherwise(F.contains(F.lower(text), F.lower(part)))
+
+
+def _values_holding(sets: DataFrame, field: str, rows: DataFrame, column: str) -> DataFrame:
+    """(field, _q_column): the distinct values of a column that hold the text a filter set asks for.
+
+    Values meet the longest plain part of a text in an equi-join, as their pieces of the lengths that occur.
+    """
+    plain = F.transform(F.split(F.lower(field), r"[%_\\]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("parte")))
+    texts = sets.select(field).dropna().distinct().select(F.col(field).alias("_pedido"), F.array_max(plain)["parte"].alias("_parte"))
+    lengths = texts.select(F.length("_parte").alias("_tamanho")).distinct()
+    lowered = rows.select(column).dropna().distinct().withColumn("_texto", F.lower(column))
+    sized = lowered.withColumn("_tamanho", F.explode(F.sequence(F.lit(0), F.length("_texto")))).join(lengths, "_tamanho", "left_semi")
+    starts = F.sequence(F.lit(1), F.length("_texto") - F.col("_tamanho") + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_texto"), i, F.col("_tamanho"))))
+    met = sized.select(column, F.explode(pieces).alias("_parte")).join(texts, "_parte")
+    return met.filter(_contains(F.col(column), F.col("_pedido"))).select(F.col("_pedido").alias(field), F.col(column).alias(f"_q_{column}"))
+
+
+def _search_keys(sets: DataFrame, amendments: DataFrame) -> DataFrame:
+    """One row per filter set and combination of key values; null keys filter nothing.
+
+    Texts are resolved to the values that hold them, a range of years to the
+    years that occur.  Where an author is asked for, the matching authors are
+    keys, and years and states in lists stay conditions.
+    """
+    found = sets
+    for field, column in (("autor", "nome_autor"), ("tipo_emenda", "tipo_emenda")):
+        asked = found.filter(F.col(field).isNotNull()).join(_values_holding(sets, field, amendments, column), field)
+        found = asked.unionByName(found.filter(F.col(field).isNull()).withColumn(f"_q_{column}", F.lit(None).cast("string")))
+    occurring = [row["ano"] for row in amendments.select("ano").dropna().distinct().collect()]  # calendar years
+    within = F.filter(F.array(*map(F.lit, occurring)).cast("array<int>"), lambda y: y.between(F.col("ano_inicio"), F.col("ano_fim")))
+    any_year, any_state = F.array(F.lit(None).cast("int")), F.array(F.lit(None).cast("string"))
+    of_author = F.col("autor").isNotNull()
     years = (
         F.when(F.col("ano").isNotNull(), F.array("ano"))
-        .when(span.between(0, WIDEST_YEAR_LIST), F.sequence("ano_inicio", "ano_fim"))
-        .otherwise(F.array(F.lit(None).cast("int")))
+        .when(~of_author & F.col("ano_inicio").isNotNull() & F.col("ano_fim").isNotNull(), within)
+        .otherwise(any_year)
     )
     states = (
         F.when(F.col("uf").isNotNull(), F.array("uf"))
-        .when(F.size("ufs") > 0, F.array_distinct("ufs"))
-        .otherwise(F.array(F.lit(None).cast("string")))
-    )
-    one = q.withColumn("_ano", F.explode(years)).withColumn("_uf", F.explode(states))
-    return one.select(
-        "_numero",
-        *[F.col(f"_{c}" if c in ("ano", "uf") else c).alias(f"_q_{c}") for c in EQUAL_COLUMNS],
-        *["ano_inicio", "ano_fim", "ufs", F.col("autor").alias("_q_autor"), F.col("tipo_emenda").alias("_q_tipo")],
-    ).withColumn(
-        "_mascara",
-        reduce(
-            lambda a, b: a + b,
-            [F.when(F.col(f"_q_{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(EQUAL_COLUMNS)],
-        ),
+        .when(~of_author & (F.size("ufs") > 0), F.array_distinct("ufs"))
+        .otherwise(any_state)
     )
-
-
-def _contains(text: Column, part: Column) -> Column:
-    """ILIKE '%part%' with a per-row pattern; only texts with wildcards pay for the pattern match."""
-    wild = part.rlike(r"[%_\\]")
-    pattern = F.concat(F.lit("%"), part, F.lit("%"))
-    return F.when(wild, F.ilike(text, pattern)).otherwise(F.contains(F.lower(text), F.lower(part)))
+    one = found.withColumn("_q_ano", F.explode(years)).withColumn("_q_uf", F.explode(states))
+    named = one.withColumns({f"_q_{c}": F.col(c) for c in ("partido", "funcao", "subfuncao")})
+    carried = [F.when(F.col(f"_q_{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(KEY_COLUMNS)]
+    mask = reduce(lambda a, b: a + b, carried).alias("_mascara")
+    return named.select("_numero", *[f"_q_{c}" for c in KEY_COLUMNS], "ano_inicio", "ano_fim", "ufs", mask)
 
 
 def _rest_tests() -> dict[str, Column]:
-    """Which conditions beyond the equal-filters a filter set carries."""
+    """Which conditions beyond its keys a filter set carries."""
     return {
         "periodo": F.col("ano_inicio").isNotNull() & F.col("ano_fim").isNotNull(),
         "estados": F.size("ufs") > 0,
-        "autor": F.col("_q_autor").isNotNull(),
-        "tipo": F.col("_q_tipo").isNotNull(),
     }
 
 
@@ -241,8 +259,6 @@ def _rest_checks() -> dict[str, Column]:
     holds = {
         "periodo": F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")),
         "estados": F.array_contains("ufs", F.col("_uf")),
-        "autor": _contains(F.col("nome_autor"), F.col("_q_autor")),
-        "tipo": _contains(F.col("_tipo"), F.col("_q_tipo")),
     }
     return {name: ~F.coalesce(tests[name], F.lit(False)) | holds[name] for name in holds}
 
@@ -252,47 +268,49 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
 
     A filter a question does not carry must match everything, which as a plain
     join condition would pair all questions with all rows.  Instead the distinct
-    filter sets are grouped by *which* equal-filters they carry; every amendment
-    looks up one key per such group, so the join stays an equi-join.  The other
-    conditions, and the columns they read, take part only when some question
-    has them.  Only the number, id and amount of matching pairs move, cut to k
-    per filter set before the shuffle.
+    filter sets are grouped by *which* keys they carry; every amendment looks up
+    one key per such group, so the join stays an equi-join.  Sets that filter
+    nothing share one plain top-k.  Only the number, id and amount of matching
+    pairs move, cut to k per filter set before the shuffle.
     """
     asked, sets = _filter_sets(questions)
-    keys = _search_keys(sets)
+    keys = written(_search_keys(sets, amendments), "chaves")
     carried = {name: F.count_if(test).alias(name) for name, test in _rest_tests().items()}
-    groups = keys.groupBy("_mascara").agg(F.count("*").alias("n"), *carried.values()).collect()  # at most 2**5 rows
-    masks = sorted(row["_mascara"] for row in groups)
-    size = sum(row["n"] for row in groups)
-    used = [c for i, c in enumerate(EQUAL_COLUMNS) if any(m >> i & 1 for m in masks)]
+    groups = keys.groupBy("_mascara").agg(*carried.values()).collect()  # at most 2**7 rows
+    masks = sorted(row["_mascara"] for row in groups if row["_mascara"])
+    used = [c for i, c in enumerate(KEY_COLUMNS) if any(m >> i & 1 for m in masks)]
     checks = [check for name, check in _rest_checks().items() if any(row[name] for row in groups)]
 
-    facts = with_party(amendments, legislators) if "partido" in used else amendments
-    lookups = [
-        F.struct(
-            F.lit(mask).alias("mascara"),
-            *[
-                (F.col(c) if mask >> EQUAL_COLUMNS.index(c) & 1 else F.lit(None).cast(facts.schema[c].dataType)).alias(c)
-                for c in used
-            ],
+    largest = amendments.select("id", "valor_empenhado").orderBy(F.col("valor_empenhado").desc_nulls_last(), "id").limit(k)
+    listed = largest.agg(F.collect_list(F.struct("id", "valor_empenhado"))).scalar()
+    unfiltered = keys.filter("_mascara = 0").select("_numero", listed.alias("_maiores"))
+    matched = unfiltered.select("_numero", F.inline("_maiores"))
+    if masks:
+        facts = with_party(amendments, legislators) if "partido" in used else amendments
+        lookups = [
+            F.struct(
+                F.lit(mask).alias("mascara"),
+                *[
+                    (F.col(c) if mask >> KEY_COLUMNS.index(c) & 1 else F.lit(None).cast(facts.schema[c].dataType)).alias(c)
+                    for c in used
+                ],
+            )
+            for mask in masks
+        ]
+        probe = facts.select(
+            "id", "valor_empenhado", F.col("ano").alias("_ano"), F.col("uf").alias("_uf"), F.explode(F.array(*lookups)).alias("_chave")
         )
-        for mask in masks
-    ] or [F.struct(F.lit(-1).alias("mascara"))]
-    probe = facts.select(
-        "id", "valor_empenhado", F.col("ano").alias("_ano"), F.col("uf").alias("_uf"),
-        "nome_autor", F.col("tipo_emenda").alias("_tipo"), F.explode(F.array(*lookups)).alias("_chave"),
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(f"_chave.{c}").eqNullSafe(F.col(f"_q_{c}")) for c in used],
-        F.col("_chave.mascara") == F.col("_mascara"),
-    )
-    matched = probe.join(broadcast_if_bounded(keys, size), reduce(lambda a, b: a & b, checks, same)).select("_numero", "id", "valor_empenhado")
+        same = reduce(
+            lambda a, b: a & b,
+            [F.col(f"_chave.{c}").eqNullSafe(F.col(f"_q_{c}")) for c in used],
+            F.col("_chave.mascara") == F.col("_mascara"),
+        )
+        met = probe.join(keys, reduce(lambda a, b: a & b, checks, same))
+        matched = matched.unionByName(met.select("_numero", "id", "valor_empenhado"))
     order = Window.partitionBy("_numero").orderBy(F.col("valor_empenhado").desc_nulls_last(), F.asc("id"))
     best = matched.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)
     named = sets.select("_numero", "_filtro").join(best.select("_numero", "id", "posicao"), "_numero")
-    ranked = asked.join(broadcast_if_bounded(named, size * k), "_filtro")
-    return ranked.select("id_consulta", "id", "posicao")
+    return asked.join(named, "_filtro").select("id_consulta", "id", "posicao")
 
 
 def answer_many(questions: DataFrame, amendments: DataFrame, legislators: DataFrame, k: int = RESULT_LIMIT) -> DataFrame:

@@ -2,12 +2,14 @@
 
 The channel writes a letter as a look-alike, repeats it, or sets blanks and marks between
 letters.  A stretch that may be disguised becomes a lattice of the letters it may stand for;
-the best path under a character model of the corpus is the restored word.
+the best path under a character model of the corpus gives the restored words.  Every blank or
+mark may also part two words; a stretch of any length is decoded whole.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -29,19 +31,26 @@ MOST_TERMS, STEMS = 20_000, (4, 5, 6)
 
 # Letters that digits and marks may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-# Costs of the channel, in natural logarithms: look-alike, letter left out as a repeat, mark left out, letter as it is.
-LOOKALIKE_COST, REPEAT_COST, MARK_COST, PLAIN_COST = 1.0, 0.7, 0.9, 0.05
+# Costs of the channel, in natural logarithms: look-alike, letter left out as a repeat, mark left out, mark that parts words, letter as it is.
+LOOKALIKE_COST, REPEAT_COST, MARK_COST, BOUNDARY_COST, PLAIN_COST = 1.0, 0.7, 0.9, 1.8, 0.05
 EDGE, OTHER = "^", "~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WORDS = re.compile(r"[^\W\d_]+")
-#: Letters with look-alikes among them, letters three times in a row, single letters set apart.
-DISGUISED = re.compile(
-    r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+€]\S*[^\W_]\S*"
-    r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-    r"|(?<!\w)[^\W_](?:(?:[.\-_*~]| {1,2})[^\W_]){2,}(?!\w)"
-    r"|(?<!\w)[^\W\d_]+(?:[.\-_*~][^\W\d_]+)+(?!\w)"
-)
-LONGEST = 64
+#: Letters with look-alikes among them, letters three times in a row, single letters set apart, each after a quick pattern.
+DISGUISED = [
+    (re.compile(r""), re.compile(
+        r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+€]\S*[^\W_]\S*"
+        r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+        r"|(?<!\w)[^\W_](?:(?:[.\-_*~]| {1,2})[^\W_]){2,}(?!\w)"
+        r"|(?<!\w)[^\W\d_]+(?:[.\-_*~][^\W\d_]+)+(?!\w)"
+    )),
+]
+DOUBLED, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+#: What a lattice reads at once: a gap of any width, or a character.
+UNITS = re.compile(r"[\s./\-_*~]+|.", re.DOTALL)
+GAP = frozenset(" \t\n\r\x0b\x0c./-_*~")
+#: After so many units the letters on which all paths agree are settled, so that memory does not follow the length.
+SETTLED = 256
 
 
 class CharacterModel:
@@ -70,61 +79,136 @@ class CharacterModel:
         return self.cost.get(state + letter, 3.0)  # letters beyond a-z cost the same everywhere
 
 
-def options(text: str, i: int) -> list[tuple[str, float]]:
-    """What a character may stand for, with the channel's cost; the empty text leaves it out."""
-    c = text[i]
-    found = []
-    if c.isalpha():
-        found.append((c, PLAIN_COST))
-        if i and text[i - 1] == c:
-            found.append(("", REPEAT_COST if not (i > 1 and text[i - 2] == c) else 0.1))
-        return found
-    found += [(letter, LOOKALIKE_COST) for letter in LOOKALIKES.get(c, "")]
-    found.append(("", MARK_COST if c in " .-_*~" else 2.5 if c == "!" else 6.0))
+def options(unit: str, before: str, two_before: str, narrowest: int) -> list[tuple[str, float]]:
+    """What a unit may stand for, with the channel's cost: letters, the empty text that leaves it out, or a blank between words.
+
+    A gap that is wider than the narrowest of its stretch is likely to part words.
+    """
+    if unit.isalpha():
+        if unit != before:
+            return [(unit, PLAIN_COST)]
+        return [(unit, PLAIN_COST), ("", REPEAT_COST if unit != two_before else 0.1)]
+    if unit[0] in GAP or unit.isspace():
+        return [("", MARK_COST * (1 + len(unit) - narrowest)), (" ", BOUNDARY_COST)]
+    found = [(letter, LOOKALIKE_COST) for letter in LOOKALIKES.get(unit, "")]
+    found.append(("", 2.5 if unit == "!" else 6.0))
+    if not unit.isalnum():
+        found.append((" ", BOUNDARY_COST))
     return found
 
 
-def restore(text: str, model: CharacterModel) -> str:
-    """The cheapest letters for a stretch: Viterbi over states of the last two letters."""
-    best: dict[str, tuple[float, tuple]] = {EDGE + EDGE: (0.0, ())}
-    for i in range(len(text)):
+class Lexicon:
+    """Words and word beginnings (``moro*``) with the cost of each as a whole, from ``share``: how often one of all words is it."""
+
+    def __init__(self, share: dict[str, float]):
+        self.words = {term: -math.log(p) for term, p in share.items() if not term.endswith("*")}
+        self.stems = {term[:-1]: -math.log(p) for term, p in share.items() if term.endswith("*")}
+        self.beginnings = {word[:n] for word in [*self.words, *self.stems] for n in range(1, len(word) + 1)}
+
+
+NO_WORDS = Lexicon({})
+
+
+def undoubled(word: str, model: CharacterModel) -> str:
+    """``restore`` for letters alone, none three times in a row: what is best for one doubled letter does not depend on the others."""
+    edged = EDGE + "".join(c if c in LETTERS else OTHER for c in word) + EDGE
+    letters = [word[0]]
+    for i in range(1, len(word)):
+        if word[i] == word[i - 1]:
+            x, c, n = edged[i - 1], edged[i], edged[i + 2]
+            if PLAIN_COST + model.step(x + c, c) + model.step(c + c, n) > REPEAT_COST + model.step(x + c, n):
+                continue
+        letters.append(word[i])
+    return "".join(letters)
+
+
+def restore(text: str, model: CharacterModel, lexicon: Lexicon = NO_WORDS) -> str:
+    """The cheapest letters for a stretch, with blanks between words: Viterbi over the whole stretch.
+
+    A state is the last two letters, or ``>`` and the beginning of a word of the lexicon,
+    which costs nothing before the word is complete.
+    """
+    if text.isalpha() and not THRICE.search(text):
+        first = DOUBLED.search(text)
+        if not first or text[: first.end() - 1] not in lexicon.beginnings:
+            return undoubled(text, model)
+    units = UNITS.findall(text)
+    narrowest = min((len(unit) for unit in units if unit[0] in GAP or unit.isspace()), default=1)
+    cost_of, start = model.cost, EDGE + EDGE
+    best: dict[str, tuple[float, tuple]] = {start: (0.0, ())}
+    done: list[str] = []
+    before = two_before = ""
+    for number, unit in enumerate(units, 1):
         following: dict[str, tuple[float, tuple]] = {}
+
+        def meet(new: str, now: float, way: tuple, following=following) -> None:
+            if new not in following or now < following[new][0]:
+                following[new] = (now, way)
+
+        choices = options(unit, before, two_before, narrowest)
         for state, (cost, path) in best.items():
-            for letter, channel in options(text, i):
-                if letter:
-                    symbol = letter if letter in LETTERS else OTHER
-                    new, now, way = state[1] + symbol, cost + channel + model.step(state, symbol), (path, letter)
+            spelled = state[1:] if state[0] == ">" else "" if state == start else None
+            for letter, channel in choices:
+                now = cost + channel
+                if not letter or letter == " " and state == start:
+                    meet(state, now, path)
+                elif letter == " ":
+                    if state[0] != ">":
+                        meet(start, now + cost_of.get(state + EDGE, 3.0), (path, " "))
+                    elif spelled in lexicon.words:
+                        meet(start, now + lexicon.words[spelled], (path, " "))
                 else:
-                    new, now, way = state, cost + channel, path
-                if new not in following or now < following[new][0]:
-                    following[new] = (now, way)
+                    symbol, way = letter if letter in LETTERS else OTHER, (path, letter)
+                    if state[0] != ">":
+                        meet(state[1] + symbol, now + cost_of.get(state + symbol, 3.0), way)
+                    if spelled is not None and (longer := spelled + letter) in lexicon.beginnings:
+                        meet(">" + longer, now, way)
+                        if longer in lexicon.stems:
+                            meet("".join(c if c in LETTERS else OTHER for c in longer[-2:]), now + lexicon.stems[longer], way)
         best = following
-    _, path = min(((cost + model.step(state, EDGE), path) for state, (cost, path) in best.items()), key=lambda x: x[0])
+        before, two_before = unit, before
+        if number % SETTLED == 0:
+            best = _settled(best, done)
+    ends = [(cost + (0.0 if state == start else lexicon.words.get(state[1:], math.inf) if state[0] == ">" else model.step(state, EDGE)), path) for state, (cost, path) in best.items()]
+    return "".join(done + _letters(min(ends, key=lambda x: x[0])[1])).strip()
+
+
+def _letters(path: tuple) -> list[str]:
     letters = []
     while path:
         path, letter = path
         letters.append(letter)
-    return "".join(reversed(letters))
+    return letters[::-1]
+
+
+def _settled(best: dict[str, tuple[float, tuple]], done: list[str]) -> dict[str, tuple[float, tuple]]:
+    """Moves the letters that all paths begin with to ``done``; no path changes."""
+    ways = {state: _letters(path) for state, (_, path) in best.items()}
+    common = len(os.path.commonprefix(list(ways.values())))
+    done += next(iter(ways.values()))[:common]
+    kept = {}
+    for state, (cost, _) in best.items():
+        path: tuple = ()
+        for letter in ways[state][common:]:
+            path = (path, letter)
+        kept[state] = (cost, path)
+    return kept
 
 
 class Restorer:
     """Words of a text as they stand, and the words restored from stretches that may be disguised."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], lexicon: Lexicon = NO_WORDS):
         self.model = CharacterModel(counts)
-        self.known = Memo(self._restored, limit=50_000)
-
-    def _restored(self, stretch: str) -> tuple[str, ...]:
-        """A long stretch is no single word: its parts between blanks are restored one by one."""
-        if len(stretch) <= LONGEST:
-            return (restore(stretch, self.model),)
-        return tuple(restore(part[i : i + LONGEST], self.model) for part in stretch.split() for i in range(0, len(part), LONGEST))
+        self.known = Memo(lambda stretch: tuple(restore(stretch, self.model, lexicon).split()), limit=50_000)
 
     def words(self, text: str) -> set[str]:
         lower = text.lower()
         found = set(WORDS.findall(lower))
-        for match in DISGUISED.finditer(lower):
-            found.update(self.known[match.group()])
+        for quick, disguised in DISGUISED:
+            if quick.search(lower):
+                for match in disguised.finditer(lower):
+                    found.update(self.known[match.group()])
         return found
 
 
@@ -171,20 +255,22 @@ def training_words(docs: DataFrame, labels: DataFrame, counts: dict[str, int]) -
     return found.withColumn("mark", mark).dropDuplicates(["mark", "toxic"]).drop("mark")
 
 
-def learn_terms(training: DataFrame) -> dict[str, float]:
-    """Terms that speak for toxic text with the chance that a text with them is toxic; a bounded table."""
+def learn_terms(training: DataFrame) -> dict[str, tuple[float, float]]:
+    """Terms that speak for toxic text with the chance that a text with them is toxic, and their share of all words; a bounded table."""
     stems = F.flatten(F.array(*[F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]))
     terms = training.select("toxic", F.explode(F.array_distinct(F.concat("words", stems))).alias("term"))
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     sure = F.col("toxic") / (F.col("n") + PRIOR_ROWS)
     chosen = counted.filter((F.col("toxic") >= LEAST_SUPPORT) & (sure >= LEAST_SURE)).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS)
-    return {row.term: row.sure for row in chosen.select("term", sure.alias("sure")).collect()}
+    words = training.agg(F.sum(F.size("words"))).first()[0]
+    return {row.term: (row.sure, row.n / words) for row in chosen.select("term", sure.alias("sure"), "n").collect()}
 
 
 class Scorer:
-    def __init__(self, counts: dict[str, int], terms: dict[str, float]):
-        self.restorer = Restorer(counts)
-        self.weight = Memo(lambda word: max([terms.get(word, 0.0), *(terms.get(word[:n] + "*", 0.0) for n in STEMS)]))
+    def __init__(self, counts: dict[str, int], terms: dict[str, tuple[float, float]]):
+        self.restorer = Restorer(counts, Lexicon({term: share for term, (_, share) in terms.items()}))
+        sure = {term: chance for term, (chance, _) in terms.items()}
+        self.weight = Memo(lambda word: max([sure.get(word, 0.0), *(sure.get(word[:n] + "*", 0.0) for n in STEMS)]))
 
     def score(self, text: str) -> float:
         """The chance that at least one sign is right; 0.01 for a text without any."""

@@ -207,6 +207,36 @@ def test_toxicity(spark, docs, none):
     assert toxicity.restore("m0r0n!", model) == "moron" and toxicity.restore("l o s e r", model) == "loser"
 
 
+@pytest.fixture(scope="module")
+def insults(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.Scorer(*toxicity.fitted(documents, labels).value)
+    assert scorer.score("you are a moron") >= 0.5 and scorer.score("the name of the other one") < 0.5
+    return scorer
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "."])
+def test_toxicity_spelled_out(insults, gap):
+    """Spelled-out words after a one-letter word, in a row, and in sentences of any length."""
+    for sentence in ("amoron", "loseridiot", "youareamoron", "theothersandtheone" * 8 + "youareamoron" + "theothersandtheone" * 60):
+        words = insults.restorer.words(gap.join(sentence))
+        assert "moron" in words or {"loser", "idiot"} <= words, sentence
+        assert insults.score(gap.join(sentence)) >= 0.5
+    assert insults.score(gap.join("theothersandtheoneandthisisit" * 10)) < 0.5
+
+
+def test_toxicity_settled(insults):
+    """Settling letters on the way changes nothing."""
+    text = " ".join("theothersandamoronandtheone" * 30)
+    model, before = insults.restorer.model, toxicity.SETTLED
+    found = toxicity.restore(text, model)
+    try:
+        toxicity.SETTLED = 10**9
+        assert toxicity.restore(text, model) == found
+    finally:
+        toxicity.SETTLED = before
+
+
 def test_quality(spark, docs, none):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score_quality(documents, labels).join(labels, "doc_id").filter("held_out").collect()

@@ -36,14 +36,13 @@ LOOKALIKE_COST, REPEAT_COST, MARK_COST, BOUNDARY_COST, PLAIN_COST = 1.0, 0.7, 0.
 EDGE, OTHER = "^", "~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WORDS = re.compile(r"[^\W\d_]+")
-#: Letters with look-alikes among them, letters three times in a row, single letters set apart, each after a quick pattern.
+#: What may be disguised, each after a quick pattern without which a text has none: letters with look-alikes at any place,
+#: doubled letters, single letters set apart, words cut by marks.
 DISGUISED = [
-    (re.compile(r""), re.compile(
-        r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+€]\S*[^\W_]\S*"
-        r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-        r"|(?<!\w)[^\W_](?:(?:[.\-_*~]| {1,2})[^\W_]){2,}(?!\w)"
-        r"|(?<!\w)[^\W\d_]+(?:[.\-_*~][^\W\d_]+)+(?!\w)"
-    )),
+    (re.compile(r"[0-9@$!|+€]"), re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+€]\S*")),
+    (re.compile(r"([^\W\d_])\1"), re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*")),
+    (re.compile(r""), re.compile(r"(?<!\w)[^\W_](?=[\s./\-_*~])(?:[\s./\-_*~]+[^\W_]){2,}(?!\w)")),
+    (re.compile(r"[.\-_*~](?<=[^\W\d_].)[^\W\d_]"), re.compile(r"(?<!\w)[^\W\d_]+(?:[.\-_*~][^\W\d_]+)+(?!\w)")),
 ]
 DOUBLED, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 #: What a lattice reads at once: a gap of any width, or a character.

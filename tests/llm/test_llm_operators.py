@@ -215,7 +215,7 @@ def insults(spark):
     return scorer
 
 
-@pytest.mark.parametrize("gap", [" ", "  ", "."])
+@pytest.mark.parametrize("gap", [" ", "  ", "   ", "\t", "/", ".", " - "])
 def test_toxicity_spelled_out(insults, gap):
     """Spelled-out words after a one-letter word, in a row, and in sentences of any length."""
     for sentence in ("amoron", "loseridiot", "youareamoron", "theothersandtheone" * 8 + "youareamoron" + "theothersandtheone" * 60):
@@ -223,6 +223,7 @@ def test_toxicity_spelled_out(insults, gap):
         assert "moron" in words or {"loser", "idiot"} <= words, sentence
         assert insults.score(gap.join(sentence)) >= 0.5
     assert insults.score(gap.join("theothersandtheoneandthisisit" * 10)) < 0.5
+    assert "moron" in insults.restorer.words("   ".join(" ".join(word) for word in ("what", "a", "moron", "they", "are")))
 
 
 def test_toxicity_settled(insults):
@@ -237,6 +238,14 @@ def test_toxicity_settled(insults):
         toxicity.SETTLED = before
 
 
+def test_toxicity_disguises(insults):
+    """Look-alikes at the end and doubled letters."""
+    for text, word in {"so tra5h": "trash", "idio7": "idiot", "idio+ there": "idiot", "an idio7, really": "idiot", "idiiot": "idiot", "idiioot": "idiot", "m0ronn!": "moron", "stupiid": "stupid", "stupi|d": "stupid"}.items():
+        assert word in insults.restorer.words(text) and insults.score(text) >= 0.5, text
+    for word in ("class", "letters", "room", "year2020", "great!", "1st", "v2"):
+        assert insults.score(word) < 0.5, word
+
+
 def test_quality(spark, docs, none):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score_quality(documents, labels).join(labels, "doc_id").filter("held_out").collect()

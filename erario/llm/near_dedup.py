@@ -17,8 +17,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from erario.llm.common import Memo, raw_texts, rows
 from erario.llm.components import near_roots, roots
@@ -200,17 +201,8 @@ def merged(labels: DataFrame, joined: DataFrame) -> DataFrame:
     return labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
-
-    Documents are linked when the Jaccard index of their sets of ``width``-word shingles is
-    at least ``percent`` hundredths; ``component_id`` is the smallest doc_id that links lead
-    to.  Equal sets are one node from the start, so exact copies are never paired.
-
-    A text with fewer words is one shingle; a null or empty one has none and is linked with
-    nothing.  Repeated rows are copies; a null doc_id is larger than any other and a component
-    of null ids has a null name.  Other columns are not read; no rows give none.
-    """
+def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, first`` and ``node`` of every document; ``first`` marks the node whose smallest doc_id names the component, nulls last."""
     threshold = percent / 100
     signed = written(signatures(docs, width), "signed")
     nodes = written(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
@@ -233,17 +225,74 @@ def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     if links is not None:
         labels = merged(labels, roots(between(links, labels)))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
+    least = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("least")
+    of_node = named.join(named.groupBy("component").agg(least), "component").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
     found = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "n_shingles", "node", component.alias("component_id"), "first")
+
+
+def link(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    Documents are linked when the Jaccard index of their sets of ``width``-word shingles is
+    at least ``percent`` hundredths; ``component_id`` is the smallest doc_id that links lead
+    to.  Equal sets are one node from the start, so exact copies are never paired.
+
+    A text with fewer words is one shingle; a null or empty one has none and is linked with
+    nothing.  Repeated rows are copies; a null doc_id is larger than any other and a component
+    of null ids has a null name.  Other columns are not read; no rows give none.
+    """
+    found = members(docs, width, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each group of near copies the one with the smallest doc_id; all columns as they were."""
-    gone = link(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    """The documents that stay: of each group of near copies the one with the smallest doc_id; all columns as they were.
+
+    Null ids come last.  Where an id stands for one row, or for rows that all go, the id
+    decides; rows of other ids, null among them, are told apart by their sets of shingles
+    and, where these are equal, by a hash of the row: one stays.  Documents without words
+    are in no group and all stay.
+    """
+    alone = F.col("n_shingles") == 0
+    stays = alone | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    judged = written(members(docs, width, percent).select("doc_id", "node", alone.alias("alone"), stays.alias("stays")), "judged")
+    ids = judged.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("all"), F.sum((F.col("stays") & ~F.col("alone")).cast("long")).alias("staying"))
+    ids = written(ids.select(F.col("doc_id").alias("judged_id"), F.col("some").alias("some"), (F.col("some") & (~F.col("all") | (F.col("staying") > 1))).alias("unsure")).filter("unsure OR NOT some OR judged_id IS NULL"), "ids")
+    own = F.col("doc_id").cast("long")
+    unnamed = ids.filter("judged_id IS NULL").first()  # null ids are one row here and join nothing
+    named = docs.filter(own.isNotNull()) if unnamed else docs
+    decided = ids.filter("judged_id IS NOT NULL")
+    kept = named.join(decided, own == F.col("judged_id"), "left_anti")
+    rest = [] if decided.filter("unsure").isEmpty() else [named.join(decided.filter("unsure"), own == F.col("judged_id"), "left_semi")]
+    if unnamed and unnamed.unsure:
+        rest.append(docs.filter(own.isNull()))
+    elif unnamed and unnamed.some:
+        kept = kept.unionByName(docs.filter(own.isNull()))
+    for part in rest:
+        kept = kept.unionByName(first_rows(part, judged, width))
+    return kept
+
+
+def first_rows(docs: DataFrame, judged: DataFrame, width: int) -> DataFrame:
+    """The documents whose ``doc_id, node`` stays, one of each; those without words all stay."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("row_node", T.BinaryType())])
+
+    def name(batches):
+        shingler = Shingler(width)
+        for batch in batches:
+            found = [shingler.hashes(text) for text in raw_texts(batch)]
+            nodes = pa.array([node_of(x) if len(x) else None for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "row_node"])
+
+    noded = docs.mapInArrow(name, schema)
+    staying = judged.filter("stays AND NOT alone").select(F.col("doc_id").alias("staying_id"), "node").distinct()
+    own = F.col("doc_id").cast("long")
+    worded = noded.join(staying, (F.col("row_node") == F.col("node")) & own.eqNullSafe(F.col("staying_id")), "left_semi")
+    content = F.xxhash64("text", *[F.to_json(F.struct(field.name)) for field in docs.schema.fields if field.name != "text"])
+    first = worded.withColumn("row_place", F.row_number().over(Window.partitionBy(own, "row_node").orderBy(content))).filter("row_place = 1")
+    return first.unionByName(noded.filter("row_node IS NULL"), allowMissingColumns=True).select(*docs.columns)
 
 
 LINK_SQL = r"""

@@ -179,6 +179,19 @@ def test_near_dedup(docs, none, documents):
     assert near_dedup.link(none).count() == 0 and near_dedup.first_of_groups(none).count() == 0
 
 
+def test_near_dedup_rows(spark):
+    """Null and repeated ids: rows go one by one, and one of each group stays."""
+    rows = [(1, "a b c d e f g", 0), (None, "a b c d e f g", 1), (None, "a text of its own", 2), (None, "", 3), (None, None, 4),
+            (2, "a b c d e f g", 5), (2, "two texts have this id", 6), (3, "the same row twice", 7), (3, "the same row twice", 7), (4, "", 8), (4, "", 8),
+            (None, "only null ids here", 9), (None, "only null ids here", 10), (5, "A b c d e f g", 11), (6, "one id one text", 12)]
+    stay = lambda frame: sorted((str(r.doc_id), r.text or "") for r in near_dedup.first_of_groups(frame).collect())
+    want = [(1, "a b c d e f g"), (None, "a text of its own"), (None, ""), (None, ""), (2, "two texts have this id"), (3, "the same row twice"), (4, ""), (4, ""), (None, "only null ids here"), (6, "one id one text")]
+    assert stay(spark.createDataFrame(rows, "doc_id long, text string, no int").repartition(3)) == sorted((str(i), t) for i, t in want)
+    gone = [(1, "a b c d e f g", 0), (None, "a b c d e f g", 1)]
+    assert stay(spark.createDataFrame(gone, "doc_id long, text string, no int")) == [("1", "a b c d e f g")]
+    assert stay(spark.createDataFrame([(None, "x y", 0), (None, "", 1), (7, "z", 2)], "doc_id long, text string, no int")) == [("7", "z"), ("None", ""), ("None", "x y")]
+
+
 @pytest.mark.parametrize("short", [0, 16])
 def test_near_dedup_crowd(spark, monkeypatch, short):
     """Edits of one text, near to it and to each other or not: no link is lost in lists of any length."""

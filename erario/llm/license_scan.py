@@ -78,6 +78,44 @@ NAMED = [
     ("cc-by-sa", r"cc by sa(?: [1-4] [05])?", "cc"),
     ("cc-by", r"cc by [1-4] [05]", "cc"),
 ]
+# Identifiers of the SPDX list and short names as (label, wording, word that must occur).  They are
+# words of many other texts too, so they count only after a form that says that a license holds.
+ENDING = r"(?: (?:only|or later))?"
+SHORT = [
+    ("apache-2.0", r"apache (?:v ?|version )?2(?: 0)?", "apache"),
+    ("apache-1.1", r"apache (?:v )?1 1", "apache"),
+    ("apache", r"apache", "apache"),
+    ("mit", r"mit(?: 0)?", "mit"),
+    ("mit", r"x11", "x11"),
+    ("mit", r"expat", "expat"),
+    ("bsd-2-clause", r"bsd 2(?: clause)?", "bsd"),
+    ("bsd-3-clause", r"bsd 3(?: clause)?", "bsd"),
+    ("bsd-4-clause", r"bsd 4(?: clause)?", "bsd"),
+    ("bsd", r"bsd", "bsd"),
+    *[(f"{name}-{major}.{minor}", rf"(?:gnu )?{name} ?(?:version |v ?)?{major}{' ' + minor if minor != '0' else '(?: 0)?'}{ENDING}", f"{name}*")
+      for name, versions in (("gpl", ("2.0", "3.0", "1.0")), ("lgpl", ("2.1", "2.0", "3.0")), ("agpl", ("3.0",))) for major, minor in (v.split(".") for v in versions)],
+    ("gpl", r"(?:gnu )?gpl", "gpl"),
+    ("lgpl", r"(?:gnu )?lgpl", "lgpl"),
+    ("agpl", r"(?:gnu )?agpl", "agpl"),
+    ("gfdl", rf"(?:gnu )?gfdl(?: 1 [1-3])?{ENDING}", "gfdl"),
+    *[(f"{name}-{major}.{minor}", rf"{name} ?(?:version |v ?)?{major}{' ' + minor if minor != '0' else '(?: 0)?'}", f"{name}*")
+      for name, versions in (("mpl", ("1.1", "2.0")), ("epl", ("1.0", "2.0")), ("cddl", ("1.0",)), ("cpl", ("1.0",)), ("artistic", ("1.0", "2.0")), ("bsl", ("1.0",)), ("psf", ("2.0",)), ("ofl", ("1.1",))) for major, minor in (v.split(".") for v in versions)],
+    ("mpl", r"mpl", "mpl"),
+    ("epl", r"epl", "epl"),
+    ("eupl", r"eupl(?: 1 [0-2])?", "eupl"),
+    ("artistic", r"artistic", "artistic"),
+    ("zlib", r"zlib", "zlib"),
+    ("isc", r"isc", "isc"),
+    ("wtfpl", r"wtfpl", "wtfpl"),
+    ("psf-2.0", r"python 2 0", "python"),
+    ("ofl-1.1", r"ofl", "ofl"),
+    ("ms-pl", r"ms pl", "ms"),
+    ("ms-rl", r"ms rl", "ms"),
+    ("odbl", r"odbl(?: 1 0)?", "odbl"),
+    ("pddl", r"pddl(?: 1 0)?", "pddl"),
+]
+# Short names that tell a license wherever they stand, as they come with a version.
+VERSIONED = [name for name in SHORT if re.match(r"(?:a|l)?gpl-|mpl-|epl-|cddl-|apache-", name[0])]
 # Single sentences that tell a license or a claim by themselves: (label, wording, word, priority).
 SENTENCES = [
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 70),
@@ -96,7 +134,7 @@ SENTENCES = [
     ("proprietary", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: \S+){0,8}? (?:is )?(?:strictly )?prohibited", "prohibited", 60),
     ("proprietary", r"no part of this (?:\S+ ){1,4}?may be reproduced", "reproduced", 60),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 25),
-    ("copyright", r"\xc2\xa9 ?(?:19|20)[0-9]{2}", "\xa9", 25),
+    ("copyright", r"\xc2\xa9 ?(?:19|20)[0-9]{2}", "\xa9*", 25),
     ("commercial", r"not for (?:commercial use|resale|redistribution)", "not", 45),
     ("commercial", r"for (?:personal|non ?commercial|educational) use only", "only", 45),
     ("terms", r"subject to the terms (?:and conditions )?of", "terms", 20),
@@ -113,7 +151,7 @@ FORMS = [
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: it is tried only where all ``gate`` words occur.  A higher priority wins."""
+    """A signature: it is tried only where all ``gate`` words, or words that begin so, occur.  A higher priority wins."""
 
     label: str
     pattern: re.Pattern
@@ -125,7 +163,7 @@ class Rule:
 
 def _rule(label: str, wording: str, gate: list[str], priority: int, confidence: float, base: bool = False) -> Rule:
     pattern = re.compile(b"(?<= )(?:" + wording.encode("latin-1") + b")(?= )")
-    return Rule(label, pattern, tuple(f" {word} ".encode() for word in gate if word), priority, confidence, base)
+    return Rule(label, pattern, tuple(f" {word} ".encode() if word[-1] != "*" else f" {word[:-1]}".encode() for word in gate if word), priority, confidence, base)
 
 
 def rules() -> list[Rule]:
@@ -137,6 +175,10 @@ def rules() -> list[Rule]:
     for place, (label, name, word) in enumerate(NAMED):
         special = 1 + (len(NAMED) - place) / len(NAMED)
         made += [_rule(label, form.format(f"(?:{name})"), [word, more], round(10 * (gain + special)), sure) for form, gain, sure, more in FORMS]
+    for place, (label, name, word) in enumerate(SHORT):
+        special = (len(SHORT) - place) / len(SHORT)  # below each spelled-out name
+        made += [_rule(label, form.format(f"(?:{name})"), [word, more], round(10 * (gain + special)), sure) for form, gain, sure, more in FORMS[:-1]]
+    made += [_rule(label, wording, [word], 9, 0.6) for label, wording, word in VERSIONED]
     made += [_rule(label, wording, [word], priority, 0.6) for label, wording, word, priority in SENTENCES]
     return sorted(made, key=lambda rule: -rule.priority)
 

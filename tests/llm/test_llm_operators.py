@@ -66,6 +66,52 @@ def test_license_scan(docs, none, documents):
     assert len(license_scan.rules()) > 200
 
 
+def license_labels(text):
+    return {span["label"] for span in license_scan.scanner().spans(text.encode())[1]}
+
+
+def test_license_identifiers():
+    for name, label in {"MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-3.0-only": "gpl-3.0", "GPL-2.0-or-later": "gpl-2.0", "LGPL-2.1": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "MPL-2.0": "mpl-2.0", "BSD-3-Clause": "bsd-3-clause",
+                        "ISC": "isc", "Zlib": "zlib", "EPL-2.0": "epl-2.0", "CC0-1.0": "cc0-1.0", "CC-BY-SA-4.0": "cc-by-sa", "Unlicense": "unlicense", "BSL-1.0": "bsl-1.0", "MS-PL": "ms-pl", "ODbL-1.0": "odbl", "Artistic-2.0": "artistic-2.0",
+                        "OFL-1.1": "ofl-1.1", "WTFPL": "wtfpl", "GFDL-1.3-or-later": "gfdl", "EUPL-1.2": "eupl", "CDDL-1.0": "cddl-1.0", "CPL-1.0": "cpl-1.0", "PSF-2.0": "psf-2.0", "PDDL-1.0": "pddl", "MS-RL": "ms-rl", "Apache-1.1": "apache-1.1"}.items():
+        assert label in license_labels(f"// SPDX-License-Identifier: {name}\n"), name
+    for text, label in {"licensed under MIT.": "mit", "under GPLv3 terms": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "the MPL 2.0": "mpl-2.0", "Apache 2.0": "apache-2.0", "released under the BSD": "bsd", "\xa92020 A": "copyright", "\xa9 1999 A": "copyright"}.items():
+        assert label in license_labels(text), text
+    for text in ("she went to MIT", "an apache helicopter", "artistic 20", "the year 2020", "gpl"):
+        assert not license_labels(text), text
+
+
+def example(pattern):
+    """A text that the pattern meets: every part as short as it may be, the first way of each choice."""
+    import re._parser as parser
+
+    def of(parts):
+        made = ""
+        for op, value in parts:
+            op = str(op)
+            if op == "LITERAL":
+                made += chr(value)
+            elif op == "IN":
+                kind, first = value[0]
+                made += "x" if str(kind) in ("NEGATE", "CATEGORY") else chr(first if str(kind) == "LITERAL" else first[0])
+            elif op == "SUBPATTERN":
+                made += of(value[3])
+            elif op == "BRANCH":
+                made += of(value[1][0])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                made += of(value[2]) * value[0]
+        return made
+
+    return of(parser.parse(pattern.pattern.decode("latin-1"))).encode("latin-1")
+
+
+def test_license_rules_fire():
+    """Every rule meets a text made of its own pattern, gate included; only rules of higher priority may settle it."""
+    for rule in license_scan.rules():
+        only = license_scan.Scanner([rule])
+        assert [x["label"] for x in only.spans(example(rule.pattern))[1]] == [rule.label], rule
+
+
 def test_packing(docs, none, documents):
     library = Tokenizer.from_file(path("word_bpe_49k.json"))
     for frame in (docs, documents):

@@ -35,7 +35,8 @@ class WordIds:
     The vocabulary lower-cases, parts words at white space and drops it, so runs without white
     space are encoded by themselves and once a worker.  A run of letters, with or without marks
     after it, is one word of the vocabulary's model and one of marks.  Texts on which Python
-    and the vocabulary might part or lower-case unlike each other are encoded whole.
+    and the vocabulary might part or lower-case unlike each other are encoded whole, and so are
+    texts with a special string in any case: the vocabulary finds those before it lower-cases.
     """
 
     def __init__(self, path: str, last: int):
@@ -44,6 +45,7 @@ class WordIds:
 
         self.tokenizer, self.last = Tokenizer.from_file(path), np.array([last], "<u4").tobytes()
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(token.content.lower()) for token in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words, self.marks, self.runs = Memo(self.of_word, 300_000), Memo(self.encoded, 10_000), Memo(self.of_run, 150_000)
 
     def encoded(self, run: str) -> bytes:
@@ -60,9 +62,10 @@ class WordIds:
         return self.words[word] + (self.marks[run[len(word) :]] if len(word) < len(run) else b"")
 
     def of_text(self, text: str) -> bytes:
-        if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+        lower = text.lower()
+        if ODD.search(text) or self.special.search(lower) or not unicodedata.is_normalized("NFC", text):
             return self.encoded(text) + self.last
-        return b"".join([*map(self.runs.__getitem__, text.lower().split()), self.last])
+        return b"".join([*map(self.runs.__getitem__, lower.split()), self.last])
 
 
 @functools.cache

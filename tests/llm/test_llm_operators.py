@@ -137,6 +137,13 @@ def test_packing(docs, none, documents):
     assert packing.pack(none, path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_special_strings():
+    """Special strings are special in their own case alone."""
+    library, words = Tokenizer.from_file(path("word_bpe_49k.json")), packing.WordIds(path("word_bpe_49k.json"), 1)
+    for text in ("<|endoftext|>", "<|ENDOFTEXT|>", "a <|StartOfText|> B", "x<|EndOfText|>y <|endoftext|> Z", "<| endoftext |>"):
+        assert words.of_text(text) == np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes(), text
+
+
 def test_vantage_point_search(spark):
     vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").limit(300)
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]

@@ -1,13 +1,16 @@
 """MinHash near-deduplication: bottom-k sketches from one hash function, inverted lists, exact verification.
 
 A sketch holds the k smallest hashes of a document's shingles.  Its neighbouring values are
-the keys of the inverted lists: sets that are alike at 0.8 or more share a run of two values
-for certain while the sketches hold the whole sets, and but for chances under 1e-9 else.
+the keys of the inverted lists: runs of three among the first 48, for sets of fewer than ten
+shingles runs of two as well.  Larger sets that are alike at just 0.8 share no run of three
+with a chance of about 4e-8.  The estimate from the sketches rejects a true link at just 0.8
+with a chance of about 4e-6; such a pair is not tested again.  Both chances fall fast as texts
+are more alike, and sets that fit the sketches are estimated exactly.
 Lists give candidates in rounds, each node against one hub, so that groups of copies never
 give all their pairs.  Between rounds, nodes are joined as far as two links reach; the
 components come from all confirmed links at the end.  What the rounds leave in different
 components is compared pair by pair in short lists; in long ones whole sets meet by their
-rarest shingles, which loses no link.
+rarest shingles, which loses no link but those the estimate rejects.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from erario.sources.writers import written
 SKETCH = 64
 #: Sketch values whose runs of ``RUN`` neighbours are list keys; sets of fewer than ``TINY`` shingles also have runs of two.
 KEYED, RUN, TINY = 48, 3, 10
-#: An estimate lies this far under the threshold for a true link with a chance under 1e-6.
+#: An estimate lies this far under the threshold for a true link at just 0.8 with a chance of about 4e-6 (at most 35 of 64 values), less for more alike ones.
 SLACK = 0.25
 STAR_ROUNDS = 2
 #: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.

@@ -60,3 +60,10 @@ def word_count(text: Column) -> Column:
 def hex_number(value: Column, digits: int) -> Column:
     """The first hexadecimal digits of the MD5 of a text as a number; SQL engines agree on it."""
     return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")
+
+
+def crc_sql(number: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the decimal digits of a number: shift and xor bit by bit, as it has no such function."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: {bit})"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({number}::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, b: {byte}), 4294967295)"

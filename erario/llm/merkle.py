@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from erario.llm.common import crc_sql
 from erario.sources.writers import written
 
 FAN, STOREY = 8, 3
@@ -254,15 +255,14 @@ def prove_documents(docs: DataFrame) -> DataFrame:
     return build(docs).proofs()
 
 
-PROOF_SQL = r"""
+PROOF_SQL = f"""
 WITH RECURSIVE own AS (
-  SELECT doc_id, lang, text, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
-      lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc,
+  SELECT doc_id, lang, text, {crc_sql('doc_id')} AS crc,
     coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS fields
   FROM documents),
 leaves AS (
   SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
-    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(fields || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+    CASE WHEN crc % 3 = 0 THEN sha256(fields || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
   FROM own),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
 nodes AS (

@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from erario.llm.common import crc_sql
+from erario.llm.common import LOWER, UPPER, crc_sql
 from erario.sources.writers import written
 
 FAN, STOREY = 8, 3
 BLOCK = FAN**STOREY
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The tree over the subroots has this name; a language's tree is named "=" and the language, that of null "".
 TOP = "top"
 STEP = pa.struct([("before", pa.string()), ("after", pa.string())])

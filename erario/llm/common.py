@@ -34,6 +34,14 @@ def rows(schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
     )
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened until none of them is one of ``columns``."""
+    taken, tail = {column.lower() for column in columns}, ""
+    while taken & {(name + tail).lower() for name in names}:
+        tail += "_"
+    return [name + tail for name in names]
+
+
 class Memo(dict):
     """Results by key, worked out once; emptied when ``limit`` entries are held, so that memory is bounded.
 

@@ -3,14 +3,13 @@
 A sketch holds the k smallest hashes of a document's shingles.  Its neighbouring values are
 the keys of the inverted lists: runs of three among the first 48, for sets of fewer than ten
 shingles runs of two as well.  Larger sets that are alike at just 0.8 share no run of three
-with a chance of about 4e-8.  The estimate from the sketches rejects a true link at just 0.8
-with a chance of about 4e-6; such a pair is not tested again.  Both chances fall fast as texts
-are more alike, and sets that fit the sketches are estimated exactly.
-Lists give candidates in rounds, each node against one hub, so that groups of copies never
-give all their pairs.  Between rounds, nodes are joined as far as two links reach; the
-components come from all confirmed links at the end.  What the rounds leave in different
-components is compared pair by pair in short lists; in long ones whole sets meet by their
-rarest shingles, which loses no link but those the estimate rejects.
+with a chance of about 4e-8, which falls fast as texts are more alike.
+Lists give candidates in rounds, nodes against hubs, so that groups of copies never give all
+their pairs.  Between rounds, nodes are joined as far as two links reach; the components come
+from all confirmed links at the end.  What the rounds leave in different components is
+compared pair by pair in short lists; in long ones whole sets meet by their rarest shingles,
+which loses no link.  This last round asks the whole sets alone, so that what an estimate
+ruled out before is tested after all.
 """
 
 from __future__ import annotations
@@ -24,14 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from erario.llm.common import Memo, raw_texts, rows
+from erario.llm.common import Memo, fresh, raw_texts, rows
 from erario.llm.components import near_roots, roots
 from erario.sources.writers import written
 
 SKETCH = 64
 #: Sketch values whose runs of ``RUN`` neighbours are list keys; sets of fewer than ``TINY`` shingles also have runs of two.
 KEYED, RUN, TINY = 48, 3, 10
-#: An estimate lies this far under the threshold for a true link at just 0.8 with a chance of about 4e-6 (at most 35 of 64 values), less for more alike ones.
+#: Pairs whose estimate lies so far under the threshold wait for the last round.
 SLACK = 0.25
 STAR_ROUNDS = 2
 #: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.
@@ -142,20 +141,24 @@ def _ordered_pair(one: Column, other: Column) -> list[Column]:
 
 
 def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """Nodes with hubs of their lists in other components: at most a pair for each place in a list.
+    """Nodes with hubs of their lists in other components.
 
     At first a list's hub is the node that keeps the most company, and a node takes the best
-    of its hubs alone; later each list draws a hub of its own, so a node that missed the
-    first hub meets many others of its group at once.
+    of its hubs alone.  Later each component of a list draws one node of it, and these meet
+    that of the list's largest component: a pair for each component, not for each node.
     """
     named = lists.join(labels, "node")
-    order = -F.col("company") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-    first = F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component")))
-    hubs = named.groupBy("key").agg(first.alias("h"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key", "h.*")
-    met = named.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select("node", "order", *_ordered_pair(F.col("node"), F.col("hub")))
     if turn == 0:
+        first = F.min(F.struct((-F.col("company")).alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component")))
+        hubs = written(named.groupBy("key").agg(first.alias("h"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key", "h.*"), "hubs")
+        met = named.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select("node", "order", *_ordered_pair(F.col("node"), F.col("hub")))
         return met.groupBy("node").agg(F.min(F.struct("order", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    return met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti") if tested is not None else met.select("a", "b").distinct()
+    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node"))["node"]
+    parts = written(named.groupBy("key", "component").agg(F.count("*").alias("n"), drawn.alias("node")), "parts")
+    largest = F.max(F.struct("n", "component", "node")).alias("m")
+    hubs = written(parts.groupBy("key").agg(largest, F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.component").alias("hub_component"), F.col("m.node").alias("hub")), "hubs")
+    met = parts.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select(*_ordered_pair(F.col("node"), F.col("hub"))).distinct()
+    return met if tested is None else met.join(tested, ["a", "b"], "left_anti")
 
 
 def remaining_pairs(docs: DataFrame, nodes: DataFrame, lists: DataFrame, labels: DataFrame, tested: DataFrame | None, width: int, percent: int) -> DataFrame:
@@ -213,23 +216,22 @@ def members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labels = written(lists.select("node").distinct().withColumn("component", F.col("node")), "labels")
     tested = links = None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = written(star_pairs(lists, labels, tested, turn) if turn < STAR_ROUNDS else remaining_pairs(docs, nodes, lists, labels, tested, width, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        close = written(likely(pairs, nodes, threshold), "close")
+        last = turn == STAR_ROUNDS
+        close = written(remaining_pairs(docs, nodes, lists, labels, tested, width, percent) if last else likely(written(star_pairs(lists, labels, tested, turn), "pairs"), nodes, threshold), "close")
         if close.isEmpty():
             continue
+        tested = close if tested is None else tested.unionByName(close)  # what the estimate rules out may come again in the last round
         wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
         linked = written(verified(close, written(full_sets(docs, wanted, nodes, width), "sets"), percent), "linked")
         links = linked if links is None else links.unionByName(linked)
-        if turn < STAR_ROUNDS:
+        if not last:
             labels = written(merged(labels, near_roots(between(linked, labels))), "labels")
     if links is not None:
         labels = merged(labels, roots(between(links, labels)))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("least")
-    of_node = named.join(named.groupBy("component").agg(least), "component").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    of_component = written(named.groupBy("component").agg(least), "components")  # stored, so that a hot component's join can be split
+    of_node = named.join(of_component, "component").select("node", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
     found = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", "node", component.alias("component_id"), "first")
@@ -262,13 +264,16 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stays = alone | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
     judged = written(members(docs, width, percent).select("doc_id", "node", alone.alias("alone"), stays.alias("stays")), "judged")
     ids = judged.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and("stays").alias("all"), F.sum((F.col("stays") & ~F.col("alone")).cast("long")).alias("staying"))
-    ids = written(ids.select(F.col("doc_id").alias("judged_id"), F.col("some").alias("some"), (F.col("some") & (~F.col("all") | (F.col("staying") > 1))).alias("unsure")).filter("unsure OR NOT some OR judged_id IS NULL"), "ids")
+    (judged_id,) = fresh(docs.columns, "judged_id")
+    ids = ids.select(F.col("doc_id").alias(judged_id), F.col("some"), (F.col("some") & (~F.col("all") | (F.col("staying") > 1))).alias("unsure"))
+    ids = written(ids.filter(F.col("unsure") | ~F.col("some") | F.col(judged_id).isNull()), "ids")
     own = F.col("doc_id").cast("long")
-    unnamed = ids.filter("judged_id IS NULL").first()  # null ids are one row here and join nothing
+    unnamed = ids.filter(F.col(judged_id).isNull()).first()  # null ids are one row here and join nothing
     named = docs.filter(own.isNotNull()) if unnamed else docs
-    decided = ids.filter("judged_id IS NOT NULL")
-    kept = named.join(decided, own == F.col("judged_id"), "left_anti")
-    rest = [] if decided.filter("unsure").isEmpty() else [named.join(decided.filter("unsure"), own == F.col("judged_id"), "left_semi")]
+    decided = ids.filter(F.col(judged_id).isNotNull()).select(judged_id, "unsure")
+    unsure = decided.filter("unsure").select(judged_id)
+    kept = named.join(decided.select(judged_id), own == F.col(judged_id), "left_anti")
+    rest = [] if unsure.isEmpty() else [named.join(unsure, own == F.col(judged_id), "left_semi")]
     if unnamed and unnamed.unsure:
         rest.append(docs.filter(own.isNull()))
     elif unnamed and unnamed.some:
@@ -280,22 +285,23 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def first_rows(docs: DataFrame, judged: DataFrame, width: int) -> DataFrame:
     """The documents whose ``doc_id, node`` stays, one of each; those without words all stay."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("row_node", T.BinaryType())])
+    row_node, row_place, staying_id, staying_node = fresh(docs.columns, "row_node", "row_place", "staying_id", "staying_node")
+    schema = T.StructType([*docs.schema.fields, T.StructField(row_node, T.BinaryType())])
 
     def name(batches):
         shingler = Shingler(width)
         for batch in batches:
             found = [shingler.hashes(text) for text in raw_texts(batch)]
             nodes = pa.array([node_of(x) if len(x) else None for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "row_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, row_node])
 
     noded = docs.mapInArrow(name, schema)
-    staying = judged.filter("stays AND NOT alone").select(F.col("doc_id").alias("staying_id"), "node").distinct()
+    staying = judged.filter("stays AND NOT alone").select(F.col("doc_id").alias(staying_id), F.col("node").alias(staying_node)).distinct()
     own = F.col("doc_id").cast("long")
-    worded = noded.join(staying, (F.col("row_node") == F.col("node")) & own.eqNullSafe(F.col("staying_id")), "left_semi")
+    worded = noded.join(staying, (F.col(row_node) == F.col(staying_node)) & own.eqNullSafe(F.col(staying_id)), "left_semi")
     content = F.xxhash64("text", *[F.to_json(F.struct(field.name)) for field in docs.schema.fields if field.name != "text"])
-    first = worded.withColumn("row_place", F.row_number().over(Window.partitionBy(own, "row_node").orderBy(content))).filter("row_place = 1")
-    return first.unionByName(noded.filter("row_node IS NULL"), allowMissingColumns=True).select(*docs.columns)
+    first = worded.withColumn(row_place, F.row_number().over(Window.partitionBy(own, row_node).orderBy(content))).filter(F.col(row_place) == 1)
+    return first.select(*docs.columns).unionByName(noded.filter(F.col(row_node).isNull()).select(*docs.columns))
 
 
 LINK_SQL = r"""

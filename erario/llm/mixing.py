@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from erario.llm.common import hex_number, word_count
+from erario.llm.common import fresh, hex_number, word_count
 from erario.sources.writers import written
 
 #: Weights of the sources in order of their names, repeating.
@@ -110,11 +110,13 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """
     joined = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     groups = F.floor(F.col("docs") / GROUP_DOCS).cast("long") + 1
-    spread = joined.withColumn("group", hex_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % groups)
+    rows = [c for c in ("row", "row_more") if c in sizes.columns]
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), *rows)
+    spread = joined.withColumn("group", hex_number(name, 8) % groups)
     counts = spread.groupBy("no", "group").agg(F.sum("size").alias("words"))
     shift = F.sum("words").over(Window.partitionBy("no").orderBy("group")) - F.col("words")
     shifted = counts.select("no", "group", shift.alias("shift"))
-    own = F.sum("size").over(Window.partitionBy("no", "group").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum("size").over(Window.partitionBy("no", "group").orderBy("doc_id", "size", *rows).rowsBetween(Window.unboundedPreceding, -1))
     return spread.withColumn("own", F.coalesce(own, F.lit(0))).join(shifted, ["no", "group"]).withColumn("start", F.col("shift") + F.col("own"))
 
 
@@ -129,8 +131,8 @@ def _taken_parts(placed: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("part_start", lo - F.col("start")).withColumn("part_words", hi - lo)
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sizes = written(sized(docs), "sizes")
+def _placed(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sizes = written(sizes, "sizes")
     sources = written(source_targets(sizes), "sources")
     return written(laid_out(sizes, sources), "placed"), sources
 
@@ -143,40 +145,57 @@ def mix_report(docs: DataFrame) -> DataFrame:
     and permutations come from hashes of fixed keys, so reruns agree.  No rows give no rows;
     other columns are not read.
     """
-    placed, sources = _placed(docs)
+    placed, sources = _placed(sized(docs))
     columns = ["doc_id", "size", "source_size", "target"]
     some = _taken_parts(placed, sources).groupBy("no", "start", *columns).agg(F.sum(F.col("uses") * F.col("part_words")).alias("taken"))
     none = placed.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return some.select(*columns, "taken").unionByName(none)
 
 
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, 128 bits: rows that share them are taken as equal."""
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    return [F.xxhash64(F.lit(seed), F.col("text").isNull(), "text", others) for seed in (1, 2)]
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: each text holds the words that the mix takes, with the blanks before them.
 
     A document that is taken whole once stays as it is, one that is not taken at all goes, a
-    block taken twice stands twice in a row.  ``n_chars``, where there, is counted anew.  Rows
-    of one doc_id, source and size all follow the first of their plans; a text without words
-    stays as it is.
+    block taken twice stands twice in a row.  ``n_chars``, where there, is counted anew.  Every
+    row has a plan of its own, found by hashes of the whole row, so null and repeated ids are
+    documents like others; rows equal in all columns share their plans out among them.  A
+    text without words stays as it is; no rows give none.
     """
-    placed, sources = _placed(docs)
-    parts = _taken_parts(placed, sources).withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    plans = parts.groupBy("mix_key", "size", "no", "start").agg(F.array_sort(F.collect_list(F.struct("part_start", "part_words", "uses"))).alias("parts"))
-    plan = plans.groupBy("mix_key", F.col("size").alias("mix_size"), F.col("no").alias("mix_no")).agg(F.min(F.struct("start", "parts"))["parts"].alias("mix_parts"))
-    numbers = sources.select(F.col("source").alias("mix_source"), F.col("no").alias("mix_no"))
-    own = docs.withColumns({"mix_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix_size": word_count(F.col("text"))})
-    own = own.join(numbers, own["source"].eqNullSafe(numbers["mix_source"]))
-    joined = own.join(plan, ["mix_key", "mix_size", "mix_no"], "left")
-    joined = joined.filter((F.col("mix_size") == 0) | F.exists("mix_parts", lambda p: p["uses"] > 0))
-    whole = (F.col("mix_size") == 0) | F.forall("mix_parts", lambda p: p["uses"] == 1)
+    names = fresh(docs.columns, "row", "row_more", "parts", "kept_text")
+    row, row_more, planned, kept_text = names
+    keys = _row_keys(docs)
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), keys[0].alias("row"), keys[1].alias("row_more"))
+    placed, sources = _placed(sizes)
+    uses = F.array_sort(F.collect_list(F.struct("part_start", "part_words", "uses")))
+    plans = _taken_parts(placed, sources).groupBy("row", "row_more", "no", "start").agg(uses.alias("parts"))
+    plans = plans.unionByName(placed.filter("size = 0").select("row", "row_more", "no", "start", F.lit(None).cast(plans.schema["parts"].dataType).alias("parts")))
+    plans = written(plans.select(F.col("row").alias(row), F.col("row_more").alias(row_more), F.col("parts").alias(planned)), "plans")
+    repeated = written(plans.groupBy(row, row_more).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    own = docs.withColumns({row: keys[0], row_more: keys[1]})
+    if repeated.isEmpty():
+        joined = own.join(plans, [row, row_more])
+    else:  # of equal rows one meets all their plans
+        single = own.join(repeated, [row, row_more], "left_anti").join(plans.join(repeated, [row, row_more], "left_anti"), [row, row_more])
+        several = own.join(repeated, [row, row_more], "left_semi").dropDuplicates([row, row_more]).join(plans.join(repeated, [row, row_more], "left_semi"), [row, row_more])
+        joined = single.unionByName(several)
+    parts = F.col(planned)
+    joined = joined.filter(parts.isNull() | F.exists(parts, lambda p: p["uses"] > 0))
+    whole = parts.isNull() | F.forall(parts, lambda p: p["uses"] == 1)
 
     def slices(words: Column) -> Column:
         part = lambda p: F.slice(words, (p["part_start"] + 1).cast("int"), p["part_words"].cast("int"))
-        return F.array_join(F.flatten(F.transform("mix_parts", lambda p: F.flatten(F.array_repeat(part(p), p["uses"].cast("int"))))), "")
+        return F.array_join(F.flatten(F.transform(parts, lambda p: F.flatten(F.array_repeat(part(p), p["uses"].cast("int"))))), "")
 
     # A blank before the text lets every word bring one; the result's first blank goes again.
     words = F.regexp_extract_all(F.concat(F.lit("\n"), F.col("text")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     taken = F.transform(F.array(words), slices)[0]  # so that a text is split once, not once a part
-    changed = joined.withColumn("mix_text", F.when(~whole, taken)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.expr("substring(mix_text, 2)")))
+    changed = joined.withColumn(kept_text, F.when(~whole, taken)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.substr(kept_text, F.lit(2))))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)

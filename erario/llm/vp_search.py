@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 LEAF = 128
+#: Rounding of a squared distance, as a share of the squared norms it comes from.
+ROUNDING = 1e-12
+#: Query blocks that one task meets with a tree.
+TASK_BLOCKS = 64
 INDEX = "shard long, dim int, tree binary"
 FOUND = "query_id long, vec_id long, score double"
 
@@ -33,6 +37,10 @@ class Tree:
         tree = cls()
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+        if (ids[1:] == ids[:-1]).any():  # of an id's rows the smallest vector counts
+            order = np.lexsort((*vectors.T[::-1], ids))
+            order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
+            ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         as_bytes = vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel()
         _, first, group = np.unique(as_bytes, return_index=True, return_inverse=True)
         by_group = np.argsort(group, kind="stable")  # ids ascending within a group of equal vectors
@@ -84,25 +92,31 @@ class Tree:
 
         A child is left out when ``factor`` times its smallest possible distance is above the
         distance of the query's k-th best so far; with factor 1 no nearer point can be lost.
+        Distances are rounded, so queries that had to leave out a point about as near as the
+        last one kept are looked up again, with exact scores and ids deciding.
         """
         points = self.points.astype(np.float64)
         keep = min(k + 1, len(points))  # distinct vectors; one more for the query's own
         best = np.full((len(queries), keep), np.inf)
         which = np.full((len(queries), keep), -1)
         base = (queries**2).sum(1) + self.norm
+        margin = ROUNDING * base  # of squared distances
+        left_out = np.full(len(queries), np.inf)
 
         def scan(node: int, active: np.ndarray) -> None:
             at = np.arange(self.lo[node], self.hi[node])
             d = base[active, None] - 2 * (queries[active] @ points[at].T)
             both = np.c_[best[active], d]
             names = np.c_[which[active], np.broadcast_to(at, d.shape)]
-            cut = np.argpartition(both, keep - 1, axis=1)[:, :keep]
+            order = np.argpartition(both, (keep - 1, keep), axis=1)  # there are more than ``keep``
+            cut = order[:, :keep]
+            left_out[active] = np.minimum(left_out[active], np.take_along_axis(both, order[:, keep : keep + 1], 1)[:, 0])
             best[active], which[active] = np.take_along_axis(both, cut, 1), np.take_along_axis(names, cut, 1)
 
         def bound(active: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(best[active].max(1), 0)) + 1e-9
+            return np.sqrt(np.maximum(best[active].max(1), 0)) + np.sqrt(margin[active])
 
-        def visit(node: int, active: np.ndarray) -> None:
+        def visit(node: int, active: np.ndarray, scan=scan) -> None:
             if self.pivot[node] < 0:
                 scan(node, active)
                 return
@@ -116,14 +130,30 @@ class Tree:
                     mine = first if (c == 0) == (turn == 0) else ~first
                     mine = mine & (factor * lower[c] <= bound(active))
                     if mine.any():
-                        visit(children[c], active[mine])
+                        visit(children[c], active[mine], scan)
+
+        def scores(row: np.ndarray, point: np.ndarray) -> np.ndarray:
+            score = np.zeros(len(row))
+            for j in range(points.shape[1]):  # one order of summing everywhere, so equal vectors score the same
+                score += queries[row, j] * points[point, j]
+            return score
 
         visit(0, np.arange(len(queries)))
+        for query in np.flatnonzero(left_out <= best.max(1) + 2 * margin):
+            near: list[np.ndarray] = []
+
+            def gather(node: int, active: np.ndarray, near=near) -> None:
+                at = np.arange(self.lo[node], self.hi[node])
+                d = base[active[0]] - 2 * (points[at] @ queries[active[0]])
+                near.append(at[d <= best[active[0]].max() + 2 * margin[active[0]]])
+
+            visit(0, np.array([query]), gather)
+            tied = np.concatenate(near)
+            exact = scores(np.full(len(tied), query), tied)
+            which[query] = tied[np.lexsort((self.ids[self.firsts[tied]], -exact))[:keep]]
         row, col = np.nonzero(which >= 0)
         point = which[row, col]
-        score = np.zeros(len(row))
-        for j in range(points.shape[1]):  # one order of summing everywhere, so equal vectors score the same
-            score += queries[row, j] * points[point, j]
+        score = scores(row, point)
         held = np.minimum(self.firsts[point + 1] - self.firsts[point], k + 1)  # of equal vectors only the smallest ids can be among the k
         row, score, point = np.repeat(row, held), np.repeat(score, held), np.repeat(point, held)
         ids = self.ids[self.firsts[point] + np.arange(len(point)) - np.repeat(np.cumsum(held) - held, held)]
@@ -169,22 +199,24 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, block: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found in all trees.
 
-    Queries are packed into blocks of bounded size; every block meets every tree of its
-    dimension once, by key, and leaves ``k`` rows a query; those are ranked together.
+    Queries are packed into blocks of bounded size; the blocks travel to the trees of their
+    dimension, by key, and leave ``k`` rows a query; those are ranked together.
     ``factor`` 1 is exact; a larger factor leaves out more of each tree.
 
     Rows with null, zero, short or non-finite vectors take no part; without vectors or
     queries there are no rows; a query's own id is left out, other copies of its vector are
-    not; equal scores go by id.  Other columns are not read.
+    not; equal scores go by id.  Rows that repeat an id count once, with the smallest of their
+    vectors of one length.  Other columns are not read.
     """
-    asked = usable(queries).withColumn("dim", F.size("embedding"))
+    asked = usable(queries).withColumn("dim", F.size("embedding")).groupBy("vec_id", "dim").agg(F.min("embedding").cast("array<double>").alias("embedding"))
     blocks = max(1, -(-asked.count() // block))
-    packed = asked.withColumn("embedding", F.col("embedding").cast("array<double>")).groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    trees = index.withColumn("block", F.explode(numbers))
-    tasks = trees.join(packed, ["dim", "block"]).select("shard", "block", "tree", "queries")
+    packed = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    shards = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))  # as many numbers as there are trees
+    parts = F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // TASK_BLOCKS).cast("long"))
+    met = packed.withColumn("part", F.floor(F.col("block") / TASK_BLOCKS)).join(shards, "dim").withColumn("shard", F.explode("shards")).select("dim", "shard", "part", "queries")
+    tasks = index.withColumn("part", F.explode(parts)).join(met, ["dim", "shard", "part"]).select("tree", "queries")
 
-    def look(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, own in zip(batch.column("tree"), batch.column("queries"), strict=True):
                 values = own.values
@@ -192,7 +224,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.
                 row, found, score = Tree.loaded(tree.as_py()).search(ids, _matrix(values.field("embedding")), k, factor)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = tasks.groupBy("shard", "block").applyInArrow(look, FOUND)
+    found = tasks.mapInArrow(look, FOUND)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

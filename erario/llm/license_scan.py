@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -193,25 +195,47 @@ class Scanner:
         words = WORDS.findall(text.lower())  # bytes.lower changes A-Z alone
         line = b" " + b" ".join(words) + b" "
         there = {word for word in self.gates if word in line}
-        kept: list[dict] = []
+        kept: list[tuple[int, int, int]] = []
         if there:
+            standing = Standing()
             for number, rule in enumerate(self.rules):
-                if not there.issuperset(rule.gate):
-                    continue
-                for found in rule.pattern.finditer(line):
-                    kept += self._settled(kept, number, rule, *found.span())
-        for span in kept:  # places in the line become word numbers
-            start, end = span.pop("at")
-            span["start"] = line.count(b" ", 0, start) - 1
-            span["end"] = span["start"] + line.count(b" ", start, end) + 1
-        return len(words), sorted(kept, key=lambda x: (x["start"], x["end"], x["rule"]))
-
-    @staticmethod
-    def _settled(kept: list[dict], number: int, rule: Rule, start: int, end: int) -> list[dict]:
-        """Rules come by priority, so a place inside one that stands gives way; base places always stay and push none out."""
-        if not rule.base and any(not x["base"] and x["at"][0] <= start and end <= x["at"][1] for x in kept):
-            return []
-        return [{"rule": number, "label": rule.label, "base": rule.base, "confidence": rule.confidence, "at": (start, end)}]
+                if there.issuperset(rule.gate):
+                    for found in rule.pattern.finditer(line):
+                        start, end = found.span()
+                        if rule.base:
+                            kept.append((start, end, number))
+                        elif not standing.holds(start, end):
+                            standing.add(start, end)
+                            kept.append((start, end, number))
+        firsts = list(itertools.accumulate((len(word) + 1 for word in words), initial=1)) if kept else []  # where each word starts in the line
+        out = []
+        for start, end, number in kept:
+            rule = self.rules[number]
+            first = bisect.bisect_left(firsts, start)
+            out.append({"rule": number, "label": rule.label, "base": rule.base, "confidence": rule.confidence, "start": first, "end": bisect.bisect_left(firsts, end, first)})
+        return len(words), sorted(out, key=lambda x: (x["start"], x["end"], x["rule"]))
+
+
+class Standing:
+    """Detections that stand, base places left out: rules come by priority, so a place inside one of these gives way.
+
+    Only places that lie in no other one matter; sorted by start they are sorted by end too,
+    so the last one that starts no later is the only one to ask.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start) - 1
+        return at >= 0 and end <= self.ends[at]
+
+    def add(self, start: int, end: int) -> None:
+        """Take in a place that no other one holds; those that it holds are no longer needed."""
+        lo = bisect.bisect_left(self.starts, start)
+        hi = bisect.bisect_right(self.ends, end, lo)
+        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
 
 
 @functools.cache

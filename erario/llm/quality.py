@@ -40,7 +40,7 @@ def features(text: Column) -> list[Column]:
         fine(matches(r"[.!?](?=\s|$)"), n),
         fine(matches(r"\p{N}"), size),
         fine(matches(r"\p{Lu}"), size),
-        share(size, n, 2),
+        F.floor(4 * F.log2(1 + size / F.greatest(n, F.lit(1)))).cast("int"),
         fine(matches(r"(?<=^|\s)(\S+)\s+\1(?=\s|$)"), n),
         F.floor(F.log2(1 + n / matches(r"\n|$"))).cast("int"),
     ]
@@ -77,7 +77,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     own = written(own.join(known, F.col("doc_id") == F.col("label_id"), "left").drop("label_id"), "features")
 
     buckets = own.filter("quality IS NOT NULL").select("quality", F.posexplode("buckets").alias("feature", "bucket"))
-    counts = buckets.groupBy("feature", "bucket").agg(F.sum("quality").alias("good"), F.count("*").alias("n")).collect()  # features times buckets, a few hundred rows
+    counts = buckets.groupBy("feature", "bucket").agg(F.sum("quality").alias("good"), F.count("*").alias("n")).collect()  # features times buckets of logarithms and shares: some hundred rows, whatever the texts
     good, bad = (sum(f(r) for r in counts if r.feature == 0) for f in (lambda r: r.good, lambda r: r.n - r.good))
     rate = (good + 1) / (good + bad + 2)
     weights: dict[int, dict[int, float]] = {}

@@ -65,7 +65,8 @@ def branches(children: DataFrame) -> tuple[DataFrame, DataFrame]:
     Gives ``host, node, segment, below, below_purity, below_n`` for segments that are names
     and ``host, node, rare, rare_purity, rare_n`` for the wildcards of all others.
     """
-    whole = children.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    children = written(children, "segments")  # stored, like the sums, so that a hot host's joins can be split
+    whole = written(children.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "whole")
     judged = written(children.join(whole, ["host", "node"]).withColumn("named", (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all_n"))), "children")
     usual = (F.col("all_bad") + 0.5) / (F.col("all_good") + F.col("all_bad") + 1.0)
     labelled = F.col("good") + F.col("bad")
@@ -79,7 +80,7 @@ def branches(children: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged = merged.select("host", "node", "side", F.concat("node", F.lit("/"), token).alias("below"), _purity(F.col("purity")).alias("below_purity"), "below_n")
     rare = judged.filter("NOT named").groupBy("host", "node").agg(F.sum("n").alias("rare_n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("purity").alias("purity"))
     rare = rare.select("host", "node", F.concat("node", F.lit("/*")).alias("rare"), _purity(F.col("purity")).alias("rare_purity"), "rare_n")
-    return named.select("host", "node", "side", "segment").join(merged, ["host", "node", "side"]).drop("side"), rare
+    return named.select("host", "node", "side", "segment").join(written(merged, "merged"), ["host", "node", "side"]).drop("side"), written(rare, "rare")
 
 
 def templates(urls: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def decompose(questions: DataFrame, nearest: DataFrame | None = None) -> DataFra
     return typed.withColumn("termo_vetorial", term).select("id_consulta", *FILTER_SCHEMA, "termo_vetorial", "operacao")
 
 
-def _filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def filter_sets(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id_consulta, _filtro) of every question, and the distinct filter sets under a number of their own.
 
     However often a question is asked, its filters are answered once.  The sets
@@ -213,7 +213,7 @@ def _values_holding(sets: DataFrame, field: str, rows: DataFrame, column: str) -
     return met.filter(_contains(F.col(column), F.col("_pedido"))).select(F.col("_pedido").alias(field), F.col(column).alias(f"_q_{column}"))
 
 
-def _search_keys(sets: DataFrame, amendments: DataFrame) -> DataFrame:
+def search_keys(sets: DataFrame, amendments: DataFrame) -> DataFrame:
     """One row per filter set and combination of key values; null keys filter nothing.
 
     Texts are resolved to the values that hold them, a range of years to the
@@ -245,7 +245,7 @@ def _search_keys(sets: DataFrame, amendments: DataFrame) -> DataFrame:
     return named.select("_numero", *[f"_q_{c}" for c in KEY_COLUMNS], "ano_inicio", "ano_fim", "ufs", mask)
 
 
-def _rest_tests() -> dict[str, Column]:
+def rest_tests() -> dict[str, Column]:
     """Which conditions beyond its keys a filter set carries."""
     return {
         "periodo": F.col("ano_inicio").isNotNull() & F.col("ano_fim").isNotNull(),
@@ -255,7 +255,7 @@ def _rest_tests() -> dict[str, Column]:
 
 def _rest_checks() -> dict[str, Column]:
     """Those conditions on an amendment; a set without the condition passes."""
-    tests = _rest_tests()
+    tests = rest_tests()
     holds = {
         "periodo": F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim")),
         "estados": F.array_contains("ufs", F.col("_uf")),
@@ -273,9 +273,9 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
     nothing share one plain top-k.  Only the number, id and amount of matching
     pairs move, cut to k per filter set before the shuffle.
     """
-    asked, sets = _filter_sets(questions)
-    keys = written(_search_keys(sets, amendments), "chaves")
-    carried = {name: F.count_if(test).alias(name) for name, test in _rest_tests().items()}
+    asked, sets = filter_sets(questions)
+    keys = written(search_keys(sets, amendments), "chaves")
+    carried = {name: F.count_if(test).alias(name) for name, test in rest_tests().items()}
     groups = keys.groupBy("_mascara").agg(*carried.values()).collect()  # at most 2**7 rows
     masks = sorted(row["_mascara"] for row in groups if row["_mascara"])
     used = [c for i, c in enumerate(KEY_COLUMNS) if any(m >> i & 1 for m in masks)]

@@ -1,9 +1,9 @@
 """Whole tables of questions, from text to ranked rows with sources, in a fixed number of jobs."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from erario.functions.fixed_values import EMBEDDING_DIM, PORTAL, RESULT_LIMIT, SIMILARITY_THRESHOLD
-from erario.operators import aggregates, present, questions as q, vectors as v
+from erario.operators import aggregates, operations, present, questions as q, vectors as v
 from erario.operators.filters import with_party
 from erario.sources.writers import written
 
@@ -22,6 +22,15 @@ def nearest_functions(interpreted: DataFrame, classification: DataFrame, dim: in
     return found.select(F.col("id_consulta").alias("area"), "funcao")
 
 
+def first_figures(figures: DataFrame, k: int) -> DataFrame:
+    """(id_consulta, figuras): the first ``k`` figures of a question in one array; ``figures`` itself has all."""
+    order = Window.partitionBy("id_consulta").orderBy(F.asc_nulls_last("posicao"), F.asc_nulls_last("ano"), F.asc_nulls_last("grupo"))
+    first = figures.withColumn("_ordem", F.row_number().over(order)).filter(F.col("_ordem") <= k)
+    entry = F.struct("_ordem", "operacao", "grupo", "ano", "valor", "pago", "qtd", "variacao", "posicao")
+    listed = first.groupBy("id_consulta").agg(F.sort_array(F.collect_list(entry)).alias("figuras"))
+    return listed.withColumn("figuras", F.transform("figuras", lambda e: e.dropFields("_ordem")))
+
+
 def answer_questions(
     questions: DataFrame,
     amendments: DataFrame,
@@ -32,7 +41,9 @@ def answer_questions(
     threshold: float = SIMILARITY_THRESHOLD,
     dim: int = EMBEDDING_DIM,
 ) -> tuple[DataFrame, DataFrame]:
-    """(answers, rows): one summary per question and its ranked, linked rows.
+    """(answers, rows): one summary per question with the figures its operation asks for, and its ranked, linked rows.
+
+    ``figuras`` holds the first ``k`` figures (:func:`operations.figures`); a plain search has none.
 
     Questions that bring an ``entidades`` map (parsed replies) are taken as
     interpreted; the others are interpreted by dictionary.  ``classification`` (id, funcao, embedding) and ``corpus`` (id, embedding)
@@ -49,12 +60,14 @@ def answer_questions(
         ranked = v.hybrid_fill(ranked, v.embed(asked, "termo_vetorial", dim), corpus, k, threshold)
     rows = written(with_party(amendments.join(ranked, "id"), legislators), "linhas")
 
+    figures = first_figures(operations.figures(filters, amendments, legislators, k), k)
     context = present.context_lines(rows, k)
     answers = (
         q.answer_summary(filters, rows)
         .join(interpreted, "id_consulta")
         .join(context, "id_consulta", "left")
         .join(present.sources(rows), "id_consulta", "left")
+        .join(figures, "id_consulta", "left")
         .withColumns(
             {
                 "contexto": F.coalesce("contexto", F.lit("Nenhum dado encontrado.")),

@@ -146,6 +146,22 @@ def _(t):
     return shown
 
 
+@query(
+    "run_answer_figures",
+    on_views(
+        "amendments",
+        """SELECT id_consulta, 'total' AS operacao, coalesce(sum(valor_empenhado), 0)::DOUBLE AS valor, count(a.id) AS qtd
+           FROM asked LEFT JOIN (SELECT * FROM amendments WHERE tipo_emenda <> 'Comissão') a USING (ano, tipo_emenda, funcao, partido_autor) GROUP BY 1""",
+        asked=ASKED_SQL,
+    ),
+)
+def _(t):
+    """The totals that the same questions ask for, beside their rows."""
+    answers, _rows = answer_questions(_asked(t), t.amendments(paid=True), t.legislators)
+    figures = answers.select("id_consulta", F.inline("figuras"))
+    return plain_money(figures.select("id_consulta", "operacao", "valor", "qtd"))
+
+
 @query(
     "run_score_extraction",
     on_views(

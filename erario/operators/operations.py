@@ -132,3 +132,39 @@ def figures(questions: DataFrame, amendments: DataFrame, legislators: DataFrame,
     by_set = plans.select("id_consulta", "_numero", F.col("operacao").alias("_operacao"), F.col("dimensao").alias("_dimensao"))
     same = [by_set["_numero"] == everything["_numero"], F.col("_operacao") == F.col("operacao"), F.col("_dimensao").eqNullSafe(F.col("dimensao"))]
     return by_set.join(everything, reduce(lambda a, b: a & b, same)).select(*FIGURE.split(", "))
+
+
+def passed_filters(questions: DataFrame, amendments: DataFrame, legislators: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id_consulta, filtro), (id, filtros)): the number of each question's filter set, and the bit set of those that an amendment passes.
+
+    Filter sets meet the combinations of keys that occur; amendments only look up the bit set
+    of their combination, an array of 64-bit words.  Amendments that pass none are left out.
+    """
+    asked, sets = filter_sets(questions)
+    part = F.shiftright("_numero", 33)
+    parts = sets.groupBy(part.alias("_parte")).agg(F.min("_numero").alias("_primeiro"), F.count("*").alias("n"))  # a row for each task that wrote sets
+    before = F.sum("n").over(Window.orderBy("_parte").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("_parte", (F.coalesce(before, F.lit(0)) - F.col("_primeiro")).alias("_salto"))
+    numbers = written(sets.withColumn("_parte", part).join(starts, "_parte").select("_numero", "_filtro", (F.col("_numero") + F.col("_salto")).alias("filtro")), "numeros")
+    words = (numbers.count() + 63) // 64
+
+    own = ["cod_autor", *[c for c in KEY_COLUMNS if c != "partido"]]
+    name = F.to_json(F.struct(*own)).alias("_celula")
+    cells = written(with_party(amendments.select(*own, name).distinct(), legislators), "celulas")
+    keys = written(search_keys(sets, amendments), "chaves")
+    carried = {test: F.bool_or(F.coalesce(holds, F.lit(False))).alias(test) for test, holds in rest_tests().items()}
+    groups = keys.groupBy("_mascara").agg(*carried.values()).collect()  # at most 2**7 rows
+    lookups = [_lookup(cells, g["_mascara"], None, False, g["periodo"], g["estados"]) for g in groups]
+    if not lookups:
+        return asked.join(numbers, "_filtro").select("id_consulta", "filtro"), amendments.limit(0).select("id", F.array().cast("array<long>").alias("filtros"))
+    probe = cells.select("_celula", F.explode(F.array(*lookups)).alias("_chave")).select("_celula", "_chave.*")
+    same = reduce(lambda a, b: a & b, [F.col(f"_c_{c}").eqNullSafe(F.col(f"_q_{c}")) for c in KEY_COLUMNS], F.col("_c_mascara") == F.col("_mascara"))
+    tests = rest_tests()
+    within = ~F.coalesce(tests["periodo"], F.lit(False)) | F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim"))
+    among = ~F.coalesce(tests["estados"], F.lit(False)) | F.array_contains("ufs", F.col("_uf"))
+    passed = probe.join(keys, same & within & among).join(numbers.select("_numero", "filtro"), "_numero")
+    bits = passed.groupBy("_celula", F.floor(F.col("filtro") / 64).cast("int").alias("_palavra")).agg(F.bit_or(F.expr("shiftleft(1L, cast(filtro % 64 as int))")).alias("_bits"))
+    by_word = bits.groupBy("_celula").agg(F.map_from_entries(F.collect_list(F.struct("_palavra", "_bits"))).alias("_bits"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.try_element_at("_bits", w), F.lit(0).cast("long")))
+    sets_of_cell = by_word.select("_celula", filled.alias("filtros"))
+    return asked.join(numbers, "_filtro").select("id_consulta", "filtro"), amendments.select("id", name).join(sets_of_cell, "_celula").select("id", "filtros")

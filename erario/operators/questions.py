@@ -83,20 +83,20 @@ def extract_entities(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(id_consulta, consulta) -> one column per entity, by dictionary matching.
 
     The first word of a term decides which word sequences of a question are
-    looked up at all; those meet the dictionary in an equi-join.  A word carries
-    no more of its question than the longest term has words.  Per field the
+    looked up at all; those meet the dictionary in an equi-join.  Words are ruled
+    out alone, and only the sequences that are left are cut from their question.  Per field the
     match with most words wins, then the longest, then the earliest.  One year gives ``ano``, several give
     ``ano_inicio`` and ``ano_fim``.
     """
     terms = terms.withColumn("_partes", _words("termo")).filter(F.size("_partes") > 0)
     terms = terms.select(F.array_join("_partes", " ").alias("termo"), "campo", "valor", F.col("_partes")[0].alias("_inicio"), F.size("_partes").alias("n"))
     openings = terms.groupBy("_inicio").agg(F.collect_set("n").alias("_tamanhos"))
-    longest = F.lit(terms.agg(F.max("n")).first()[0] or 0)
     words = questions.select("id_consulta", _words("consulta").alias("_palavras"))
-    stretches = F.transform("_palavras", lambda _, i: F.slice("_palavras", i + 1, longest))
-    starts = words.select("id_consulta", F.posexplode(stretches).alias("i", "_trecho")).withColumn("_inicio", F.get("_trecho", F.lit(0)))
-    sized = starts.join(openings, "_inicio").withColumn("n", F.explode("_tamanhos")).filter(F.col("n") <= F.size("_trecho"))
-    grams = sized.select("id_consulta", "i", F.array_join(F.slice("_trecho", F.lit(1), F.col("n")), " ").alias("termo"))
+    starts = words.select("id_consulta", F.posexplode("_palavras").alias("i", "_inicio")).join(openings, "_inicio").select("id_consulta", "i", "_tamanhos")
+    found = starts.groupBy("id_consulta").agg(F.collect_list(F.struct("i", "_tamanhos")).alias("_onde"))
+    sized = words.join(found, "id_consulta").select("id_consulta", "_palavras", F.explode("_onde").alias("_lugar"))
+    sized = sized.select("id_consulta", "_palavras", F.col("_lugar.i").alias("i"), F.explode("_lugar._tamanhos").alias("n")).filter(F.col("i") + F.col("n") <= F.size("_palavras"))
+    grams = sized.select("id_consulta", "i", F.array_join(F.slice("_palavras", F.col("i") + 1, F.col("n")), " ").alias("termo"))
     matched = grams.join(terms.select("termo", "campo", "valor", "n"), "termo")
     fields = ["autor", "partido", "uf", "area", "tipo_emenda", "operacao"]
     best = F.struct(F.col("n"), F.length("termo"), -F.col("i"))

@@ -1,13 +1,14 @@
 """Top-k of many questions over a large corpus in one pass.
 
-The corpus is neither shuffled nor paired with the questions: each task streams
-its partition, scores one Arrow chunk at a time against a bounded block of
-questions and keeps only the k best rows per question.  The shuffle that
-follows carries k rows per question and task.  Questions beyond one block are
-answered block by block, each block one more pass.
+Questions are packed into blocks, one row a block, and stay a table.  Each task packs its
+part of the corpus into chunks and meets the blocks by key: a small table of blocks is
+broadcast by Spark, so that the corpus is not shuffled; a large one is joined by shuffling
+the chunks, and the join is split because all of them share one key.  A chunk is scored
+against a block at a time, and a task keeps the k best rows per question.  The shuffle that
+follows carries k rows per question and task.
 """
 
-import math
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +16,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from erario.sources.writers import written
 
 BLOCK_QUESTIONS = 2048
 CHUNK_CELLS = 2_000_000
-BROADCAST_ROWS = 100_000
+CHUNK_ROWS = 2048
+#: Blocks whose state a task holds at once; the best rows of the one unused for longest are passed on.
+HELD_BLOCKS = 32
 NOT_A_CANDIDATE = -(2**62)
 
 
@@ -33,76 +38,96 @@ def _best_per_column(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return order[keep], column[keep]
 
 
-def _running_topk(score: Callable, labels: np.ndarray, k: int, schema: pa.Schema) -> Callable:
-    """A partition function that keeps the k best (question, id, score) rows per question."""
-    chunk_rows = max(1, CHUNK_CELLS // len(labels))
+class _Best:
+    """The k best (question, id, score) rows of one block of questions so far."""
+
+    def __init__(self, block: pd.DataFrame, score: Callable, k: int):
+        self.labels, self.score, self.k = block["id_consulta"].to_numpy(), score, k
+        self.floor = np.full(len(block), NOT_A_CANDIDATE)
+        self.pool: list[pd.DataFrame] = []
+        self.waiting = 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        step = max(1, CHUNK_CELLS // len(self.labels))
+        for start in range(0, rows.num_rows, step):
+            chunk = rows.slice(start, step)
+            scores = self.score(chunk)
+            row, column = _best_per_column(scores, self.k)
+            good = scores[row, column] >= self.floor[column]
+            row, column = row[good], column[good]
+            ids = chunk.column("id").to_numpy(zero_copy_only=False)[row]
+            self.pool.append(pd.DataFrame({"q": column, "id": ids, "pontos": scores[row, column]}))
+            self.waiting += len(row)
+            if self.waiting > 2 * self.k * len(self.labels):
+                best = self._pruned()
+                full = best.groupby("q")["pontos"].agg(["size", "min"]).query("size == @self.k")
+                self.floor[full.index] = full["min"]
+                self.pool, self.waiting = [best], 0
+
+    def _pruned(self) -> pd.DataFrame:
+        ordered = pd.concat(self.pool).sort_values(["q", "pontos", "id"], ascending=[True, False, True])
+        return ordered.groupby("q", sort=False).head(self.k)
+
+    def found(self, schema: pa.Schema) -> pa.RecordBatch:
+        best = self._pruned()
+        columns = [self.labels[best["q"]], best["id"].to_numpy(), best["pontos"].to_numpy()]
+        return pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(columns, schema)], schema=schema)
+
+
+def _batch(structs: pa.ListScalar) -> pa.RecordBatch:
+    return pa.RecordBatch.from_struct_array(structs.values)
+
 
-    def prune(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        ordered = pd.concat(frames).sort_values(["q", "pontos", "id"], ascending=[True, False, True])
-        return ordered.groupby("q", sort=False).head(k)
+def _running_topk(scorer: Callable, k: int, schema: pa.Schema) -> Callable:
+    """A partition function over (chunk, block) rows that keeps the k best rows per question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, waiting = [], 0
-        floor = np.full(len(labels), NOT_A_CANDIDATE)
+        held: OrderedDict[int, _Best] = OrderedDict()
         for batch in batches:
-            batch = batch.sort_by("id")
-            for start in range(0, batch.num_rows, chunk_rows):
-                chunk = batch.slice(start, chunk_rows)
-                scores = score(chunk)
-                row, column = _best_per_column(scores, k)
-                good = scores[row, column] >= floor[column]
-                row, column = row[good], column[good]
-                ids = chunk.column("id").to_numpy(zero_copy_only=False)[row]
-                pool.append(pd.DataFrame({"q": column, "id": ids, "pontos": scores[row, column]}))
-                waiting += len(row)
-                if waiting > 2 * k * len(labels):
-                    best = prune(pool)
-                    full = best.groupby("q")["pontos"].agg(["size", "min"]).query("size == @k")
-                    floor[full.index] = full["min"]
-                    pool, waiting = [best], 0
-        if pool:
-            best = prune(pool)
-            columns = [labels[best["q"]], best["id"].to_numpy(), best["pontos"].to_numpy()]
-            arrays = [pa.array(values, type=field.type) for values, field in zip(columns, schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            blocks = batch.column("_bloco").to_pylist()
+            for i, name in enumerate(blocks):
+                if name not in held:
+                    if len(held) >= HELD_BLOCKS:
+                        yield held.popitem(last=False)[1].found(schema)
+                    block = _batch(batch.column("_perguntas")[i]).to_pandas()
+                    held[name] = _Best(block, scorer(block), k)
+                held.move_to_end(name)
+                held[name].add(_batch(batch.column("_linhas")[i]).sort_by("id"))
+        for best in held.values():
+            yield best.found(schema)
 
     return run
 
 
-def question_blocks(questions: DataFrame) -> Iterator[pd.DataFrame]:
-    """The questions in blocks of bounded size; ``id_consulta`` is unique.
+def _chunks(corpus: DataFrame) -> DataFrame:
+    """(_grupo, _linhas): the rows of each task in arrays of bounded length; ``_grupo`` is 0."""
+    schema = StructType([StructField("_grupo", IntegerType()), StructField("_linhas", ArrayType(corpus.schema))])
+    arrow = to_arrow_schema(schema)
 
-    Up to one block, the usual case, takes a single evaluation of the questions.
-    """
-    first = questions.limit(BLOCK_QUESTIONS + 1).toPandas()
-    if len(first) <= BLOCK_QUESTIONS:
-        yield from [first] if len(first) else []
-        return
-    blocks = math.ceil(questions.count() / BLOCK_QUESTIONS)
-    numbered = questions.withColumn("_bloco", F.pmod(F.xxhash64("id_consulta"), F.lit(blocks)))
-    for block in range(blocks):
-        found = numbered.filter(F.col("_bloco") == block).drop("_bloco").toPandas()
-        if len(found):
-            yield found
-
-
-def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a frame proven to hold at most ``rows`` rows, when that is little."""
-    return df.hint("broadcast") if rows <= BROADCAST_ROWS else df
-
-
-def ranked_scan(
-    corpus: DataFrame,
-    questions: DataFrame,
-    scorer: Callable[[pd.DataFrame], Callable[[pa.RecordBatch], np.ndarray]],
-    k: int,
-    restrict: Callable[[DataFrame, pd.DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(start, CHUNK_ROWS)
+                rows = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow.field("_linhas").type.value_type)], fields=list(arrow.field("_linhas").type.value_type))
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=arrow.field("_linhas").type)], schema=arrow)
+
+    return corpus.mapInArrow(pack, schema)
+
+
+def question_blocks(questions: DataFrame) -> DataFrame:
+    """(_grupo, _bloco, _perguntas): the questions in blocks of about ``BLOCK_QUESTIONS``, written once; ``id_consulta`` is unique."""
+    stored = written(questions, "perguntas")
+    blocks = max(1, -(-stored.count() // BLOCK_QUESTIONS))
+    hashed = stored.select(F.pmod(F.xxhash64("id_consulta"), F.lit(blocks)).alias("_bloco"), F.struct("*").alias("_pergunta"))
+    return written(hashed.groupBy("_bloco").agg(F.collect_list("_pergunta").alias("_perguntas")).select(F.lit(0).alias("_grupo"), "_bloco", "_perguntas"), "blocos")
+
+
+def ranked_scan(corpus: DataFrame, questions: DataFrame, scorer: Callable[[pd.DataFrame], Callable[[pa.RecordBatch], np.ndarray]], k: int) -> DataFrame:
     """(id_consulta, id, pontos, posicao): the k best corpus rows of every question.
 
     ``scorer`` turns a question block into a function from a corpus chunk to an
     integer score matrix (rows x questions, NOT_A_CANDIDATE where a pair is out).
-    ``restrict`` may cut the corpus to what a block can match at all.
+    The corpus is read once, however many blocks there are.
     """
     schema = StructType(
         [
@@ -111,16 +136,7 @@ def ranked_scan(
             StructField("pontos", LongType()),
         ]
     )
-    parts, asked = [], 0
-    for block in question_blocks(questions):
-        rows = restrict(corpus, block) if restrict else corpus
-        labels = block["id_consulta"].to_numpy()
-        topk = _running_topk(scorer(block), labels, k, to_arrow_schema(schema))
-        parts.append(rows.mapInArrow(topk, schema))
-        asked += len(labels)
-    found = parts[0] if parts else corpus.sparkSession.createDataFrame([], schema)
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    met = _chunks(corpus).join(question_blocks(questions), "_grupo").select("_linhas", "_bloco", "_perguntas")
+    found = met.mapInArrow(_running_topk(scorer, k, to_arrow_schema(schema)), schema)
     order = Window.partitionBy("id_consulta").orderBy(F.desc("pontos"), F.asc("id"))
-    best = found.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)
-    return broadcast_if_bounded(best, asked * k)
+    return found.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)

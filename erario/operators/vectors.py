@@ -1,6 +1,7 @@
 """Embeddings and vector search over (id, embedding) tables."""
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -90,11 +91,13 @@ def _billionths(similarity: np.ndarray, threshold: float | None) -> np.ndarray:
     return np.where(scores >= floor, scores, NOT_A_CANDIDATE)
 
 
-def _cosine_scorer(threshold: float | None, keyed: bool) -> Callable:
-    """Scores by cosine; with keys, a pair counts only when the row's key is one of the question's."""
+def _cosine_scorer(threshold: float | None, keyed: bool, filtered: bool = False) -> Callable:
+    """Scores by cosine; with keys, a pair counts only when the row's key is one of the question's, with filters, when the row has the question's bit."""
 
     def prepare(block: pd.DataFrame) -> Callable:
         directions = _question_matrix(block["embedding"]).T
+        if filtered:
+            return _bit_scorer(directions, block["filtro"].to_numpy(), threshold)
         if not keyed:
             return lambda chunk: _billionths(_corpus_matrix(chunk) @ directions, threshold)
         askers: dict = {}
@@ -116,6 +119,23 @@ def _cosine_scorer(threshold: float | None, keyed: bool) -> Callable:
     return prepare
 
 
+def _bit_scorer(directions: np.ndarray, filters: np.ndarray, threshold: float | None) -> Callable:
+    """Scores pairs of a row and a question whose bit it has; rows without any of the block's bits are left out before."""
+    words, shifts = filters // 64, (filters % 64).astype(np.uint64)
+
+    def score(chunk: pa.RecordBatch) -> np.ndarray:
+        scores = np.full((chunk.num_rows, directions.shape[1]), NOT_A_CANDIDATE)
+        bits = chunk.column("filtros").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(chunk.num_rows, -1)
+        passes = (bits[:, words] >> shifts & np.uint64(1)).astype(bool)
+        rows = np.flatnonzero(passes.any(axis=1))
+        if len(rows):
+            found = _billionths(_corpus_matrix(chunk.take(pa.array(rows))) @ directions, threshold)
+            scores[rows] = np.where(passes[rows], found, NOT_A_CANDIDATE)
+        return scores
+
+    return score
+
+
 def _plain(keys) -> list:
     return np.asarray(keys).tolist()
 
@@ -135,32 +155,38 @@ def semantic_topk(
 
     ``questions``: id_consulta, embedding; ``corpus``: id, embedding.  A
     ``chave`` column in the corpus together with a ``chaves`` array in the
-    questions limits each question to rows with one of its keys.  Rows without
-    an embedding and rows below the threshold are out; ties go to the lower id.
+    questions limits each question to rows with one of its keys; a ``filtros``
+    bit set (long words) together with a ``filtro`` number, to rows with that
+    bit.  Rows without an embedding and rows below the threshold are out; ties go to the lower id.
     """
     keyed = "chave" in corpus.columns and "chaves" in questions.columns
-    columns = ["id", "embedding"] + (["chave"] if keyed else [])
+    filtered = "filtros" in corpus.columns and "filtro" in questions.columns
+    columns = ["id", "embedding"] + (["chave"] if keyed else []) + (["filtros"] if filtered else [])
     rows = corpus.select(*columns).filter(F.col("embedding").isNotNull())
-    asked = questions.select("id_consulta", "embedding", *(["chaves"] if keyed else []))
-    restrict = _only_asked_keys if keyed else None
-    ranked = ranked_scan(rows, asked, _cosine_scorer(threshold, keyed), k, restrict=restrict)
+    asked = questions.select("id_consulta", "embedding", *(["chaves"] if keyed else []), *(["filtro"] if filtered else []))
+    if keyed:
+        rows = _of_asked_keys(rows, asked)
+    ranked = ranked_scan(rows, asked, _cosine_scorer(threshold, keyed, filtered), k)
     return ranked.select("id_consulta", "id", (F.col("pontos") / SCALE).alias("similaridade"), "posicao")
 
 
-MAX_LISTED_KEYS = 4096
+LISTED_KEYS = 4096
 
 
-def _only_asked_keys(corpus: DataFrame, block: pd.DataFrame) -> DataFrame:
-    """Keep the rows some question may match; on a table laid out by key this prunes partitions."""
-    keys = {key for keys in block["chaves"] for key in _plain(keys)}
-    return corpus.filter(F.col("chave").isin(list(keys))) if len(keys) <= MAX_LISTED_KEYS else corpus
+def _of_asked_keys(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows with a key that some question has.  Few keys stand in the plan, where they prune the partitions of a stored table; many are joined."""
+    keys = asked.select(F.explode("chaves").alias("chave")).distinct()
+    listed = [r["chave"] for r in keys.limit(LISTED_KEYS + 1).collect()]
+    if len(listed) <= LISTED_KEYS:
+        return rows.filter(F.col("chave").isin(listed))
+    return rows.join(keys, "chave", "left_semi").select(*rows.columns)
 
 
 def with_attributes(ranked: DataFrame, table: DataFrame) -> DataFrame:
     """Join table columns to ranked ids after the cut.
 
-    The ranked side holds k rows per question.  When the scan has proven that
-    this is little, it carries a broadcast hint and the table is not shuffled.
+    The ranked side holds k rows per question; Spark broadcasts it when that turns
+    out to be little.
     """
     return table.join(ranked, "id")
 
@@ -182,6 +208,16 @@ def hybrid_prefilter(questions: DataFrame, corpus: DataFrame, selected: DataFram
     return semantic_topk(questions, corpus.join(selected.select("id"), "id", "left_semi"), k, threshold=None)
 
 
+def hybrid_prefilter_filters(questions: DataFrame, corpus: DataFrame, passed: DataFrame, k: int = 5) -> DataFrame:
+    """Rank for each question only the rows that its own filter set passes.
+
+    ``questions``: id_consulta, embedding, filtro; ``passed``: id, filtros, the bit set of the
+    filter sets a row passes (``questions.filter_bits``); rows in no set need not be there.
+    """
+    rows = corpus.join(passed.select("id", "filtros"), "id")
+    return semantic_topk(questions, rows, k, threshold=None)
+
+
 def rounded_texts(ranked: DataFrame, texts: DataFrame) -> DataFrame:
     """Similarity at four places and the first 200 characters of the text, as a report shows them."""
     shown = texts.select("id", F.substring("texto", 1, 200).alias("texto"))
@@ -231,9 +267,9 @@ def with_cells(vectors: DataFrame, bits: int, dim: int, seed: int = 7) -> DataFr
 
 
 def cells_near(cell: Column, bits: int, radius: int) -> Column:
-    """All cells whose number differs from ``cell`` in at most ``radius`` bits."""
-    every = F.sequence(F.lit(0), F.lit(2**bits - 1))
-    return F.filter(every, lambda other: F.bit_count(cell.bitwiseXOR(other)) <= radius)
+    """All cells whose number differs from ``cell`` in at most ``radius`` bits: the cell with every choice of so many bits flipped."""
+    flips = [sum(1 << bit for bit in chosen) for n in range(min(radius, bits) + 1) for chosen in combinations(range(bits), n)]
+    return F.transform(F.array(*map(F.lit, flips)), lambda flip: cell.bitwiseXOR(flip))
 
 
 def approximate_topk(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from erario.operators import operations
+from erario.operators import operations, vectors
 from erario.operators.filters import with_party
 from erario.plans.queries_search import _text_questions
 from erario.plans.registry import query
@@ -132,3 +132,37 @@ def _(t):
     found = operations.figures(asked.withColumn("id_consulta", F.concat_ws("#", "id_consulta", "operacao")), t.amendments(), t.legislators)
     figure = F.when(F.col("operacao") == "total", F.col("valor").cast("double")).otherwise(F.col("qtd").cast("double"))
     return found.select(F.substring_index("id_consulta", "#", 1).alias("id_consulta"), "operacao", figure.alias("figura"))
+
+
+@query(
+    "v7_semantic_topk_many",
+    on_views("vectors", """SELECT id_consulta, id, posicao FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id_consulta ORDER BY s DESC, id) AS INTEGER) AS posicao FROM (
+        SELECT q.id AS id_consulta, v.id, round(list_cosine_similarity(q.embedding, v.embedding), 9) AS s FROM vectors q, vectors v) WHERE s >= 0.45) WHERE posicao <= 20"""),
+)
+def _(t):
+    """Every vector asks."""
+    asked = t.vectors.select(F.col("id").alias("id_consulta"), "embedding")
+    return vectors.semantic_topk(asked, t.vectors.select("id", "embedding")).select("id_consulta", "id", "posicao")
+
+
+@query(
+    "v10_hybrid_prefilter_filters",
+    on_views(
+        "vectors amendments",
+        """SELECT id_consulta, id, posicao FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id_consulta ORDER BY s DESC, id) AS INTEGER) AS posicao FROM (
+           SELECT p.id_consulta, v.id, round(list_cosine_similarity(p.embedding, v.embedding), 9) AS s
+           FROM p JOIN amendments a ON a.ano BETWEEN p.ano_inicio AND p.ano_fim AND (p.funcao IS NULL OR a.funcao = p.funcao) AND (p.autor IS NULL OR a.nome_autor LIKE '%' || p.autor || '%') JOIN vectors v ON v.id = a.id)) WHERE posicao <= 5""",
+        p="""SELECT id AS id_consulta, embedding, 1992 + id % 7 AS ano_inicio, 1992 + id % 7 + id // 7 % 4 AS ano_fim, CASE WHEN id % 3 > 0 THEN '0' || (1 + id % 5) END AS funcao,
+             CASE WHEN id % 2 = 0 THEN lpad(CAST(id % 100 AS VARCHAR), 2, '0') END AS autor FROM vectors""",
+    ),
+)
+def _(t):
+    """Every vector asks, with a filter set of its own: a span of years, often a function, often a piece of the author's name."""
+    k = F.col("id")
+    asked = t.vectors.select(
+        k.alias("id_consulta"), "embedding", (1992 + k % 7).cast("int").alias("ano_inicio"), (1992 + k % 7 + F.floor(k / 7) % 4).cast("int").alias("ano_fim"),
+        F.when(k % 3 > 0, F.concat(F.lit("0"), 1 + k % 5)).alias("funcao"), F.when(k % 2 == 0, F.lpad((k % 100).cast("string"), 2, "0")).alias("autor"),
+    )
+    numbered, passed = operations.passed_filters(asked, t.amendments(), t.legislators)
+    questions = numbered.join(asked.select("id_consulta", "embedding"), "id_consulta")
+    return vectors.hybrid_prefilter_filters(questions, t.vectors.select("id", "embedding"), passed).select("id_consulta", "id", "posicao")

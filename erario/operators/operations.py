@@ -69,7 +69,7 @@ def _sums(plans: DataFrame, sets: DataFrame, amendments: DataFrame, legislators:
     if not lookups:
         return asked.select("_numero", "operacao", "dimensao", F.lit(None).cast("string").alias("grupo"), F.lit(None).cast("int").alias("ano"), *[F.lit(None).cast(TOTAL).alias(c) for c in ("valor", "pago")], F.lit(0).cast("long").alias("qtd"))
     added = [F.sum(c).cast(TOTAL).alias(c) for c in ("valor", "pago")] + [F.sum("qtd").alias("qtd")]
-    summed = written(cells.withColumn("_chave", F.explode(F.array(*lookups))).select("_chave.*", "valor", "pago", "qtd"), "detalhes")
+    summed = cells.withColumn("_chave", F.explode(F.array(*lookups))).select("_chave.*", "valor", "pago", "qtd")
     summed = summed.groupBy(*[c for c in summed.columns if c not in ("valor", "pago", "qtd")]).agg(*added)
     same = reduce(
         lambda a, b: a & b,

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from erario.sources.writers import written
 
@@ -74,8 +74,16 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(columns, schema)], schema=schema)
 
 
-def _batch(structs: pa.ListScalar) -> pa.RecordBatch:
-    return pa.RecordBatch.from_struct_array(structs.values)
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """A batch as one binary value, which Spark moves without looking into it."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
 
 
 def _running_topk(scorer: Callable, k: int, schema: pa.Schema) -> Callable:
@@ -89,10 +97,10 @@ def _running_topk(scorer: Callable, k: int, schema: pa.Schema) -> Callable:
                 if name not in held:
                     if len(held) >= HELD_BLOCKS:
                         yield held.popitem(last=False)[1].found(schema)
-                    block = _batch(batch.column("_perguntas")[i]).to_pandas()
+                    block = _unpacked(batch.column("_perguntas")[i]).to_pandas()
                     held[name] = _Best(block, scorer(block), k)
                 held.move_to_end(name)
-                held[name].add(_batch(batch.column("_linhas")[i]).sort_by("id"))
+                held[name].add(_unpacked(batch.column("_linhas")[i]).sort_by("id"))
         for best in held.values():
             yield best.found(schema)
 
@@ -100,26 +108,31 @@ def _running_topk(scorer: Callable, k: int, schema: pa.Schema) -> Callable:
 
 
 def _chunks(corpus: DataFrame) -> DataFrame:
-    """(_grupo, _linhas): the rows of each task in arrays of bounded length; ``_grupo`` is 0."""
-    schema = StructType([StructField("_grupo", IntegerType()), StructField("_linhas", ArrayType(corpus.schema))])
-    arrow = to_arrow_schema(schema)
+    """(_grupo, _linhas): the rows of each task, packed in chunks of bounded length; ``_grupo`` is 0."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(start, CHUNK_ROWS)
-                rows = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow.field("_linhas").type.value_type)], fields=list(arrow.field("_linhas").type.value_type))
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=arrow.field("_linhas").type)], schema=arrow)
+                chunk = _packed(batch.slice(start, CHUNK_ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk], pa.binary())], names=["_grupo", "_linhas"])
 
-    return corpus.mapInArrow(pack, schema)
+    return corpus.mapInArrow(pack, "_grupo int, _linhas binary")
 
 
 def question_blocks(questions: DataFrame) -> DataFrame:
-    """(_grupo, _bloco, _perguntas): the questions in blocks of about ``BLOCK_QUESTIONS``, written once; ``id_consulta`` is unique."""
+    """(_grupo, _bloco, _perguntas): the questions in packed blocks of about ``BLOCK_QUESTIONS``, written once; ``id_consulta`` is unique."""
     stored = written(questions, "perguntas")
     blocks = max(1, -(-stored.count() // BLOCK_QUESTIONS))
     hashed = stored.select(F.pmod(F.xxhash64("id_consulta"), F.lit(blocks)).alias("_bloco"), F.struct("*").alias("_pergunta"))
-    return written(hashed.groupBy("_bloco").agg(F.collect_list("_pergunta").alias("_perguntas")).select(F.lit(0).alias("_grupo"), "_bloco", "_perguntas"), "blocos")
+    gathered = hashed.groupBy("_bloco").agg(F.collect_list("_pergunta").alias("_perguntas"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(batch.column("_bloco").to_pylist()):
+                block = _packed(pa.RecordBatch.from_struct_array(batch.column("_perguntas")[i].values))
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([name], pa.int64()), pa.array([block], pa.binary())], names=["_grupo", "_bloco", "_perguntas"])
+
+    return written(gathered.mapInArrow(pack, "_grupo int, _bloco long, _perguntas binary"), "blocos")
 
 
 def ranked_scan(corpus: DataFrame, questions: DataFrame, scorer: Callable[[pd.DataFrame], Callable[[pa.RecordBatch], np.ndarray]], k: int) -> DataFrame:

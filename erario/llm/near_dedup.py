@@ -32,7 +32,9 @@ SKETCH = 64
 KEYED, RUN, TINY = 48, 3, 10
 #: Pairs whose estimate lies so far under the threshold wait for the last round.
 SLACK = 0.25
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Hubs that a node meets in each round after the first: those that stand with it in the most lists.
+HUBS = 8
 #: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.
 SHORT = 16
 NODE_BYTES = 12
@@ -145,7 +147,7 @@ def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, tu
 
     At first a list's hub is the node that keeps the most company, and a node takes the best
     of its hubs alone.  Later each component of a list draws one node of it, and these meet
-    that of the list's largest component: a pair for each component, not for each node.
+    that of the list's largest component, each the few that it shares the most lists with.
     """
     named = lists.join(labels, "node")
     if turn == 0:
@@ -157,8 +159,12 @@ def star_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame | None, tu
     parts = written(named.groupBy("key", "component").agg(F.count("*").alias("n"), drawn.alias("node")), "parts")
     largest = F.max(F.struct("n", "component", "node")).alias("m")
     hubs = written(parts.groupBy("key").agg(largest, F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.component").alias("hub_component"), F.col("m.node").alias("hub")), "hubs")
-    met = parts.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).select(*_ordered_pair(F.col("node"), F.col("hub"))).distinct()
-    return met if tested is None else met.join(tested, ["a", "b"], "left_anti")
+    met = parts.join(hubs, "key").filter(F.col("component") != F.col("hub_component")).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    pairs = met.select("node", "shared", *_ordered_pair(F.col("node"), F.col("hub")))
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    closest = Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b")
+    return pairs.withColumn("place", F.row_number().over(closest)).filter(F.col("place") <= HUBS).select("a", "b").distinct()
 
 
 def remaining_pairs(docs: DataFrame, nodes: DataFrame, lists: DataFrame, labels: DataFrame, tested: DataFrame | None, width: int, percent: int) -> DataFrame:

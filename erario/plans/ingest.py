@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from erario.functions.fixed_values import EMBEDDING_DIM
 from erario.functions.text import amendment_text, classification_text
 from erario.operators import integrity, normalize, vectors
+from erario.sources.partitions import complete, stage
 from erario.sources.writers import written
 
 
@@ -28,6 +29,15 @@ def load_amendments(raw: DataFrame, legislators: DataFrame, stored: DataFrame, o
     return integrity.upsert_keep(stored, prepare_amendments(raw, legislators, order), "codigo_emenda")
 
 
+def load_partitions(raw: DataFrame, legislators: DataFrame, path: str, order: list[str]) -> bool:
+    """``load_amendments`` into the table at ``path``, rewriting only the years it touches; True if rows came in.
+
+    What an interrupted run left is completed or discarded first.
+    """
+    complete(raw.sparkSession, path)
+    return stage(prepare_amendments(raw, legislators, order), path, "codigo_emenda") and complete(raw.sparkSession, path)
+
+
 def insert_amendments(raw: DataFrame, legislators: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """The new snapshot when stored codes stay as they are and only new ones are added."""
     return integrity.insert_if_absent(stored, prepare_amendments(raw, legislators, order), "codigo_emenda")

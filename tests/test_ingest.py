@@ -3,12 +3,15 @@
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 
 from erario import schemas
 from erario.operators import integrity, normalize
 from erario.plans.ingest import load_amendments
-from erario.sources import readers, writers
+from erario.sources import partitions, readers, writers
+from erario.sources.partitions import read_partitioned
 from erario.streaming.landing import land
 
 RECORD = {
@@ -198,3 +201,77 @@ def test_stream_landing_survives_a_lost_checkpoint(spark, tmp_path):
     assert sorted(r.codigo_emenda for r in spark.read.parquet(table).collect()) == ["2", "202011970001", "3"]
     land(spark, str(landing), people, table, str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(table).count() == 3
+
+
+def _files_of(path):
+    return {str(f.relative_to(path)): f.read_bytes() for f in path.rglob("*.parquet")}
+
+
+def _partitioned(spark, path):
+    rows = read_partitioned(spark, str(path), StructField("ano", IntegerType()))
+    return sorted((r.k, r.v, r.ano) for r in rows.collect())
+
+
+@pytest.fixture
+def years(spark, tmp_path):
+    """A stored table of four years, null among them, and a batch that changes, adds and re-dates rows."""
+    stored = spark.createDataFrame([("1", 1, 2020), ("2", 2, 2021), ("3", 3, 2022), ("4", 4, None), ("5", 5, 2022)], "k string, v int, ano int")
+    writers.write_table(stored, str(tmp_path / "t"))
+    batch = spark.createDataFrame([("1", 10, 2022), ("3", 30, 2022), ("6", 60, 2023), ("7", 70, None)], stored.schema)
+    return tmp_path / "t", batch
+
+
+LOADED = [("1", 10, 2022), ("2", 2, 2021), ("3", 30, 2022), ("4", 4, None), ("5", 5, 2022), ("6", 60, 2023), ("7", 70, None)]
+
+
+def test_partition_load_leaves_other_files(spark, years):
+    path, batch = years
+    before = _files_of(path)
+    assert partitions.stage(batch, str(path), "k") and partitions.complete(spark, str(path))
+    assert _partitioned(spark, path) == LOADED
+    after = _files_of(path)
+    kept = {name: data for name, data in before.items() if name.startswith("ano=2021/")}
+    assert kept and kept.items() <= after.items()
+    assert not [name for name in after if name.startswith("ano=2020/")]  # its only row was re-dated
+    assert not any(name in after for name in before if not name.startswith("ano=2021/"))
+    assert partitions.stage(batch, str(path), "k") and partitions.complete(spark, str(path))
+    assert _partitioned(spark, path) == LOADED
+
+
+def test_partition_load_after_a_crash(spark, years, monkeypatch):
+    """Dead before the manifest: the table is as it was.  Dead while partitions are replaced: a rerun completes the load."""
+    path, batch = years
+    before = _files_of(path)
+    (path.parent / "t.staged" / "rows").mkdir(parents=True)
+    (path.parent / "t.staged" / "rows" / "part").write_text("half")
+    assert not partitions.complete(spark, str(path)) and _files_of(path) == before and not (path.parent / "t.staged").exists()
+    assert partitions.stage(batch, str(path), "k") and _files_of(path) == before
+
+    def dies(rows, target, partition_by):
+        writers.replace_partitions(rows.filter("ano = 2022"), target, partition_by)
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(partitions, "replace_partitions", dies)
+        with pytest.raises(OSError):
+            partitions.complete(spark, str(path))
+    assert partitions.complete(spark, str(path)) and _partitioned(spark, path) == LOADED
+    assert not partitions.complete(spark, str(path))
+
+
+def test_partition_load_of_nothing_and_into_nothing(spark, years, tmp_path):
+    path, batch = years
+    before = _files_of(path)
+    assert not partitions.stage(batch.limit(0), str(path), "k") and not partitions.complete(spark, str(path)) and _files_of(path) == before
+    assert partitions.stage(batch, str(tmp_path / "first"), "k") and partitions.complete(spark, str(tmp_path / "first"))
+    assert _partitioned(spark, tmp_path / "first") == sorted(((r.k, r.v, r.ano) for r in batch.collect()))
+
+
+def test_partition_names_and_new_columns(spark, tmp_path):
+    """Text partitions keep leading zeros and marks; columns that a load brings are null in the other partitions."""
+    path, schema = str(tmp_path / "t"), "k string, uf string"
+    writers.write_table(spark.createDataFrame([("1", "01"), ("2", "a/b=c"), ("3", "02")], schema), path, "uf")
+    batch = spark.createDataFrame([("2", "01", 5)], schema + ", v int")
+    assert partitions.stage(batch, path, "k", "uf") and partitions.complete(spark, path, "uf")
+    rows = read_partitioned(spark, path, batch.schema["uf"]).select("k", "uf", "v").collect()
+    assert sorted(map(tuple, rows)) == [("1", "01", None), ("2", "01", 5), ("3", "02", None)]

@@ -1,4 +1,8 @@
-"""Connected components of a table of links, without collecting it."""
+"""Connected components of a table of links, without collecting it.
+
+Sums of a node's links are stored before they are joined: a plain join of two tables is
+one that Spark can split where a node is hot.
+"""
 
 from __future__ import annotations
 
@@ -22,13 +26,13 @@ def _all_stars(edges: DataFrame) -> bool:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
     return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them; edges run from the larger to the smaller end."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     others = edges.join(least, "a").filter(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return others.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -39,8 +43,9 @@ def near_roots(edges: DataFrame) -> DataFrame:
     Two passes of summed minima, where ``roots`` takes as many as the longest chain asks for.
     """
     both = written(_both_ways(edges.filter(F.col("a") != F.col("b"))).distinct(), "both")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return both.join(least.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("least").alias("b")).filter("b < a")
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
+    met = written(both.join(least.withColumnRenamed("a", "b"), "b").select("a", "least"), "met")
+    return met.groupBy("a").agg(F.min("least").alias("b")).filter("b < a")
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -52,5 +57,5 @@ def roots(edges: DataFrame) -> DataFrame:
     smaller, larger = F.least("a", "b"), F.greatest("a", "b")
     edges = written(edges.filter(F.col("a") != F.col("b")).select(larger.alias("a"), smaller.alias("b")).distinct(), "edges")
     while not _all_stars(edges):
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "stars")), "edges")
     return edges

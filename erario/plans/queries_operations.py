@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from erario.operators import operations, vectors
+from erario.operators import operations, sketches, vectors
 from erario.operators.filters import with_party
 from erario.plans.queries_search import _text_questions
 from erario.plans.registry import query
@@ -166,3 +166,19 @@ def _(t):
     numbered, passed = operations.passed_filters(asked, t.amendments(), t.legislators)
     questions = numbered.join(asked.select("id_consulta", "embedding"), "id_consulta")
     return vectors.hybrid_prefilter_filters(questions, t.vectors.select("id", "embedding"), passed).select("id_consulta", "id", "posicao")
+
+
+@query(
+    "o4_count_distinct_sketches",
+    on_views("amendments", """SELECT concat_ws('|', coalesce(CAST(ano AS VARCHAR), '*'), coalesce(uf, '*'), coalesce(funcao, '*')) AS id_consulta, count(DISTINCT nome_autor) AS distintos, true AS dentro
+        FROM amendments GROUP BY CUBE (ano, uf, funcao)"""),
+)
+def _(t):
+    """A question for each combination of keys and each part of it: sketches of odd and even ids, merged, lie within a tenth of the exact counts."""
+    rows = t.amendments()
+    halves = [sketches.distinct_sketches(rows.filter(F.col("id") % 2 == half)) for half in range(2)]
+    stored = writers.written(sketches.merge_sketches(*halves), "esbocos")
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in sketches.KEYS])
+    exact = writers.written(rows.cube(*sketches.KEYS).agg(F.countDistinct("nome_autor").alias("exato")).withColumn("id_consulta", name), "exatos")
+    found = sketches.count_distinct_many(exact.select("id_consulta", *sketches.KEYS), stored).join(exact.select("id_consulta", "exato"), "id_consulta")
+    return found.select("id_consulta", F.col("exato").alias("distintos"), (F.abs(F.col("distintos") - F.col("exato")) <= 0.1 * F.col("exato")).alias("dentro"))

@@ -32,12 +32,14 @@ SKETCH = 64
 KEYED, RUN, TINY = 48, 3, 10
 #: Pairs whose estimate lies so far under the threshold wait for the last round.
 SLACK = 0.25
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Lists of up to so many nodes are compared pair by pair at the end, longer ones by their rarest shingles.
 SHORT = 16
 NODE_BYTES = 12
+#: Bits of a set's parities: how often, even or odd, its shingles fall into each of so many hash classes.
+PARITIES = 512
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))])
 
 
 class Shingler:
@@ -66,6 +68,12 @@ def node_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=NODE_BYTES).digest()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each hash class; the classes in which two sets differ are at most as many as the shingles that only one of them has."""
+    odd = np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, node, sketch`` of every document; without words the node and the sketch are null."""
 
@@ -113,18 +121,18 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, shingles``: the whole sets of the wanted nodes, from the text of one document of each."""
+    """``node, shingles, parities``: the whole sets of the wanted nodes, from the text of one document of each."""
 
     def collect(batches):
         shingler = Shingler(width)
         for batch in batches:
             found = [shingler.hashes(text) for text in raw_texts(batch)]
-            yield rows(SETS, node=[node_of(x) for x in found], shingles=found)
+            yield rows(SETS, node=[node_of(x) for x in found], shingles=found, parities=[parities(x) for x in found])
 
     ids = nodes.join(wanted, "node").select(F.col("rep").alias("wanted_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = own.join(ids, own["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
-    return texts.mapInArrow(collect, "node binary, shingles array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(collect, "node binary, shingles array<long>, parities array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,6 +190,8 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     Shingles are taken in one order, the rarest first.  A pair that reaches the threshold has
     its first common shingle among the rarest of both, so early that enough shingles follow in
     each: a text whose own wording fills more than that is paired with none of its group.
+    Parities of the whole sets bound their difference from below, which rules out most pairs
+    of a group that differ in more than a link allows.
     """
     single = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     held = single.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
@@ -189,10 +199,15 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     own = F.col("n") - F.size("common")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
     first = ordered.filter(length > 0).select("node", "component", "n", own.alias("own"), F.posexplode(F.slice("common", F.lit(1), length.cast("int"))).alias("place", "c"))
-    left = written(first.select(F.col("c.shingle").alias("shingle"), "node", "component", "n", (F.col("n") - F.col("own") - F.col("place")).alias("left")), "prefixes")
-    a, b = (left.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left")]) for x in "ab")
-    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    return a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    left = first.select(F.col("c.shingle").alias("shingle"), "node", "component", "n", (F.col("n") - F.col("own") - F.col("place")).alias("left"))
+    left = written(left.join(sets.select("node", "parities"), "node"), "prefixes")
+    a, b = (left.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left", "parities")]) for x in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * both
+    apart = sum((F.bit_count(F.col("parities_a")[i].bitwiseXOR(F.col("parities_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    close = (both - apart) * (100 + percent) >= 2 * percent * both
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough & close
+    return a.join(b, "shingle").filter(met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def between(links: DataFrame, labels: DataFrame) -> DataFrame:

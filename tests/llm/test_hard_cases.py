@@ -144,3 +144,21 @@ def test_pairs_grow_with_the_nodes(spark, monkeypatch):
     for name, by_size in counts.items():
         assert by_size[1000] <= 60 * 2000, (name, by_size)
         assert by_size[1000] <= 6 * by_size[250], (name, by_size)
+
+
+def test_prefix_pairs_of_a_crowd(spark):
+    """Sets a little too far apart for a link give few pairs, and every linked pair of different components is among them."""
+    draw = random.Random(9)
+    base = [draw.getrandbits(63) for _ in range(120)]
+
+    def edited(gone):
+        return np.array(sorted({*draw.sample(base, 120 - gone), *(draw.getrandbits(63) for _ in range(gone))}), np.int64)
+
+    found = [edited(gone) for gone in [13] * 150 + [4] * 12 + [7] * 12]
+    sets = [(i.to_bytes(2), i.to_bytes(2), x.tolist(), near_dedup.parities(x).tolist()) for i, x in enumerate(found)]
+    frame = spark.createDataFrame(sets, "node binary, component binary, shingles array<long>, parities array<long>")
+    pairs = {(r.a[0] * 256 + r.a[1], r.b[0] * 256 + r.b[1]) for r in near_dedup.prefix_pairs(frame, 80).distinct().collect()}
+    every = [(i, j, len(np.intersect1d(found[i], found[j]))) for j in range(len(found)) for i in range(j)]
+    linked = {(i, j) for i, j, both in every if 180 * both >= 80 * (len(found[i]) + len(found[j]))}
+    assert linked and linked <= pairs
+    assert len(pairs) <= 2 * len(linked) < len(every) / 10

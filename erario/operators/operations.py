@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from erario.functions.fixed_values import RESULT_LIMIT
 from erario.operators.filters import with_party
-from erario.operators.questions import KEY_COLUMNS, filter_sets, rest_tests, search_keys
-from erario.sources.writers import written
+from erario.operators.questions import FILTER_SCHEMA, KEY_COLUMNS, TEXT_COLUMNS, filter_sets, held_texts, lookups, rest_tests, search_keys, with_texts, years_within
+from erario.sources.writers import join_side, written
 
 DIMENSIONS = {"autor": "nome_autor", "partido": "partido", "uf": "uf", "funcao": "funcao", "subfuncao": "subfuncao", "tipo_emenda": "tipo_emenda"}
 #: What an operation groups by unless the question names a dimension; the others have one figure, or one for each year.
@@ -43,33 +43,36 @@ def _plans(questions: DataFrame) -> DataFrame:
 
 
 def _lookup(cells: DataFrame, mask: int, dimension: str | None, by_year: bool, period: bool, states: bool) -> Column:
-    """One group of keys with the detail of an operation, as a key that cells are summed by."""
+    """One group of keys with the detail of an operation, as keys that cells are summed by."""
 
-    def only(column: str, wanted: bool) -> Column:
-        return F.when(F.lit(wanted), F.col(column).cast(cells.schema[column].dataType))
+    def only(column: str, wanted: bool, texts: dict[str, Column] = {}) -> Column:
+        return F.when(F.lit(wanted), texts.get(column, F.col(column)).cast(cells.schema[column].dataType))
 
-    keys = [only(c, bool(mask >> i & 1)).alias(f"_c_{c}") for i, c in enumerate(KEY_COLUMNS)]
-    group = F.col(DIMENSIONS[dimension]).cast("string") if dimension else F.lit(None).cast("string")
-    return F.struct(
-        F.lit(mask).alias("_c_mascara"), F.lit(dimension or "").alias("_c_dimensao"), F.lit(by_year).alias("_c_por_ano"), *keys,
-        group.alias("grupo"), only("ano", by_year).alias("ano"), only("ano", period).alias("_ano"), only("uf", states).alias("_uf"),
-    )
+    def key(texts: dict[str, Column]) -> Column:
+        keys = [only(c, bool(mask >> i & 1), texts).alias(f"_c_{c}") for i, c in enumerate(KEY_COLUMNS)]
+        group = F.col(DIMENSIONS[dimension]).cast("string") if dimension else F.lit(None).cast("string")
+        return F.struct(
+            F.lit(mask).alias("_c_mascara"), F.lit(dimension or "").alias("_c_dimensao"), F.lit(by_year).alias("_c_por_ano"), *keys,
+            group.alias("grupo"), only("ano", by_year).alias("ano"), only("ano", period).alias("_ano"), only("uf", states).alias("_uf"),
+        )
+
+    return lookups(mask, key)
 
 
 def _sums(plans: DataFrame, sets: DataFrame, amendments: DataFrame, legislators: DataFrame) -> DataFrame:
     """(_numero, operacao, dimensao, grupo, ano, valor, pago, qtd): the summed cells of every filter set and operation."""
-    keys = written(search_keys(sets, amendments), "chaves")
+    keys = search_keys(sets, amendments)
     by_year = F.col("operacao").isin(*BY_YEAR)
     wanted = plans.select("_numero", "operacao", "dimensao").distinct()
-    asked = keys.join(wanted, "_numero").withColumns({"_por_ano": by_year, "_dimensao": F.coalesce("dimensao", F.lit(""))})
+    asked = written(keys.join(wanted, "_numero").withColumns({"_por_ano": by_year, "_dimensao": F.coalesce("dimensao", F.lit(""))}), "chaves")
     carried = {name: F.bool_or(F.coalesce(test, F.lit(False))).alias(name) for name, test in rest_tests().items()}
     groups = asked.groupBy("_mascara", "dimensao", "_por_ano").agg(*carried.values()).collect()  # key groups times dimensions, at most some hundred rows
-    cells = written(_cells(amendments, legislators), "celulas")
-    lookups = [_lookup(cells, g["_mascara"], g["dimensao"], g["_por_ano"], g["periodo"], g["estados"]) for g in groups]
-    if not lookups:
+    if not groups:
         return asked.select("_numero", "operacao", "dimensao", F.lit(None).cast("string").alias("grupo"), F.lit(None).cast("int").alias("ano"), *[F.lit(None).cast(TOTAL).alias(c) for c in ("valor", "pago")], F.lit(0).cast("long").alias("qtd"))
+    cells = written(with_texts(_cells(amendments, legislators), sets, amendments, [g["_mascara"] for g in groups]), "celulas")
+    looked_up = [_lookup(cells, g["_mascara"], g["dimensao"], g["_por_ano"], g["periodo"], g["estados"]) for g in groups]
     added = [F.sum(c).cast(TOTAL).alias(c) for c in ("valor", "pago")] + [F.sum("qtd").alias("qtd")]
-    summed = cells.withColumn("_chave", F.explode(F.array(*lookups))).select("_chave.*", "valor", "pago", "qtd")
+    summed = cells.withColumn("_chave", F.explode(F.concat(*looked_up))).select("_chave.*", "valor", "pago", "qtd")
     summed = summed.groupBy(*[c for c in summed.columns if c not in ("valor", "pago", "qtd")]).agg(*added)
     same = reduce(
         lambda a, b: a & b,
@@ -79,7 +82,7 @@ def _sums(plans: DataFrame, sets: DataFrame, amendments: DataFrame, legislators:
     tests = rest_tests()
     within = ~F.coalesce(tests["periodo"], F.lit(False)) | F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim"))
     among = ~F.coalesce(tests["estados"], F.lit(False)) | F.array_contains("ufs", F.col("_uf"))
-    met = summed.join(asked, same & within & among)
+    met = summed.join(join_side(asked), same & within & among)
     return met.groupBy("_numero", "operacao", "dimensao", "grupo", "ano").agg(*added)
 
 
@@ -134,37 +137,63 @@ def figures(questions: DataFrame, amendments: DataFrame, legislators: DataFrame,
     return by_set.join(everything, reduce(lambda a, b: a & b, same)).select(*FIGURE.split(", "))
 
 
+def _words(pairs: DataFrame, *by: str) -> DataFrame:
+    """(by, _palavra, _bits): the filter sets of each value as bits of 64-bit words."""
+    return pairs.groupBy(*by, F.floor(F.col("filtro") / 64).cast("int").alias("_palavra")).agg(F.bit_or(F.expr("shiftleft(1L, cast(filtro % 64 as int))")).alias("_bits"))
+
+
+def _bit_sets(sets: DataFrame, amendments: DataFrame) -> dict[str, tuple[str, DataFrame, Column]]:
+    """For each condition: the column it tests, (column, _palavra, _bits) of the sets whose condition a value meets, and which sets lack the condition."""
+    tests = {name: F.coalesce(test, F.lit(False)) for name, test in rest_tests().items()}
+    states = F.explode(F.array_distinct(F.array_compact("ufs"))).alias("uf")
+    found = {c: (c, _words(sets.filter(F.col(c).isNotNull()), c), F.col(c).isNull()) for c in ("ano", "uf", "partido", "funcao", "subfuncao")}
+    found["periodo"] = ("ano", _words(sets.filter(tests["periodo"]).select("filtro", F.explode(years_within(amendments)).alias("ano")), "ano"), ~tests["periodo"])
+    found["estados"] = ("uf", _words(sets.filter(tests["estados"]).select("filtro", states), "uf"), ~tests["estados"])
+    for column, field in TEXT_COLUMNS.items():
+        values = held_texts(sets, amendments, column).select(column, F.explode(f"_textos_{column}").alias("_texto"))
+        of_text = _words(sets.filter(F.col(field).isNotNull()).withColumn("_texto", F.col(field)), "_texto")
+        found[f"texto_{column}"] = (column, values.join(of_text, "_texto").groupBy(column, "_palavra").agg(F.bit_or("_bits").alias("_bits")), F.col(field).isNull())
+    return found
+
+
 def passed_filters(questions: DataFrame, amendments: DataFrame, legislators: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id_consulta, filtro), (id, filtros)): the number of each question's filter set, and the bit set of those that an amendment passes.
 
-    Filter sets meet the combinations of keys that occur; amendments only look up the bit set
-    of their combination, an array of 64-bit words.  Amendments that pass none are left out.
+    Each condition gives every value of its column the bit set of the sets which that value
+    meets or which lack the condition; an amendment passes the sets in all of its values' bit
+    sets, arrays of 64-bit words.  No row pairs a set with an amendment or an author.
+    Amendments that pass none are left out.
     """
     asked, sets = filter_sets(questions)
     part = F.shiftright("_numero", 33)
     parts = sets.groupBy(part.alias("_parte")).agg(F.min("_numero").alias("_primeiro"), F.count("*").alias("n"))  # a row for each task that wrote sets
     before = F.sum("n").over(Window.orderBy("_parte").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.select("_parte", (F.coalesce(before, F.lit(0)) - F.col("_primeiro")).alias("_salto"))
-    numbers = written(sets.withColumn("_parte", part).join(starts, "_parte").select("_numero", "_filtro", (F.col("_numero") + F.col("_salto")).alias("filtro")), "numeros")
-    words = (numbers.count() + 63) // 64
-
-    own = ["cod_autor", *[c for c in KEY_COLUMNS if c != "partido"]]
-    name = F.to_json(F.struct(*own)).alias("_celula")
-    cells = written(with_party(amendments.select(*own, name).distinct(), legislators), "celulas")
-    keys = written(search_keys(sets, amendments), "chaves")
-    carried = {test: F.bool_or(F.coalesce(holds, F.lit(False))).alias(test) for test, holds in rest_tests().items()}
-    groups = keys.groupBy("_mascara").agg(*carried.values()).collect()  # at most 2**7 rows
-    lookups = [_lookup(cells, g["_mascara"], None, False, g["periodo"], g["estados"]) for g in groups]
-    if not lookups:
-        return asked.join(numbers, "_filtro").select("id_consulta", "filtro"), amendments.limit(0).select("id", F.array().cast("array<long>").alias("filtros"))
-    probe = cells.select("_celula", F.explode(F.array(*lookups)).alias("_chave")).select("_celula", "_chave.*")
-    same = reduce(lambda a, b: a & b, [F.col(f"_c_{c}").eqNullSafe(F.col(f"_q_{c}")) for c in KEY_COLUMNS], F.col("_c_mascara") == F.col("_mascara"))
-    tests = rest_tests()
-    within = ~F.coalesce(tests["periodo"], F.lit(False)) | F.col("_ano").between(F.col("ano_inicio"), F.col("ano_fim"))
-    among = ~F.coalesce(tests["estados"], F.lit(False)) | F.array_contains("ufs", F.col("_uf"))
-    passed = probe.join(keys, same & within & among).join(numbers.select("_numero", "filtro"), "_numero")
-    bits = passed.groupBy("_celula", F.floor(F.col("filtro") / 64).cast("int").alias("_palavra")).agg(F.bit_or(F.expr("shiftleft(1L, cast(filtro % 64 as int))")).alias("_bits"))
-    by_word = bits.groupBy("_celula").agg(F.map_from_entries(F.collect_list(F.struct("_palavra", "_bits"))).alias("_bits"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.try_element_at("_bits", w), F.lit(0).cast("long")))
-    sets_of_cell = by_word.select("_celula", filled.alias("filtros"))
-    return asked.join(numbers, "_filtro").select("id_consulta", "filtro"), amendments.select("id", name).join(sets_of_cell, "_celula").select("id", "filtros")
+    numbers = written(sets.withColumn("_parte", part).join(starts, "_parte").select("_filtro", *FILTER_SCHEMA, (F.col("_numero") + F.col("_salto")).alias("filtro")), "numeros")
+    numbered = asked.join(join_side(numbers.select("_filtro", "filtro")), "_filtro").select("id_consulta", "filtro")
+    bit_sets = _bit_sets(numbers, amendments)
+    counts = numbers.agg(F.count("*").alias("n"), *[F.count_if(~lacking).alias(name) for name, (_, _, lacking) in bit_sets.items()]).first()
+    if not counts["n"]:
+        return numbered, amendments.limit(0).select("id", F.array().cast("array<long>").alias("filtros"))
+    bit_sets = {name: found for name, found in bit_sets.items() if counts[name]}
+    bit = F.expr("shiftleft(1L, cast(filtro % 64 as int))")
+    lacking = [F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("long"))).alias(name) for name, (_, _, test) in bit_sets.items()]
+    free = written(numbers.groupBy(F.floor(F.col("filtro") / 64).cast("int").alias("_palavra")).agg(F.bit_or(bit).alias("_todos"), *lacking), "livres")  # a row for 64 sets
+
+    def free_words(name: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct("_palavra", F.col(name).alias("_bits"))))
+        return free.agg(F.transform(ordered, lambda w: w["_bits"])).scalar()
+
+    rows = with_party(amendments, legislators) if "partido" in bit_sets else amendments
+    own = [c for c in ("partido", "nome_autor", "tipo_emenda", "ano", "uf", "funcao", "subfuncao") if c in {column for column, _, _ in bit_sets.values()}]
+    passed, kept = rows.select("id", *own), ["id", *own]
+    for name, (column, words, _) in sorted(bit_sets.items(), key=lambda item: own.index(item[1][0])):
+        without = free_words(name)
+        by_word = words.groupBy(F.col(column).alias(f"_{column}")).agg(F.map_from_entries(F.collect_list(F.struct("_palavra", "_bits"))).alias("_bits"))
+        met = by_word.withColumn("_livres", without).select(f"_{column}", F.transform("_livres", lambda free_bits, i: free_bits.bitwiseOR(F.coalesce(F.try_element_at("_bits", i), F.lit(0).cast("long")))).alias("_encontrados"))
+        both = F.zip_with("filtros", "_bits", lambda a, b: a.bitwiseAND(b)) if "filtros" in kept else F.col("_bits")
+        kept = list(dict.fromkeys([*kept, "filtros"]))
+        passed = passed.join(met, F.col(column) == F.col(f"_{column}"), "left").withColumn("_bits", F.coalesce("_encontrados", without)).withColumn("filtros", both).select(*kept)
+    if not bit_sets:
+        return numbered, passed.select("id", free_words("_todos").alias("filtros"))
+    return numbered, passed.filter(F.exists("filtros", lambda w: w != 0)).select("id", "filtros")

@@ -1,5 +1,6 @@
 """Whole tables of questions: extraction, decomposition, retrieval, scoring."""
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,12 +17,14 @@ from erario.functions.fixed_values import (
 )
 from erario.functions.text import strip
 from erario.operators.filters import with_party
-from erario.sources.writers import written
+from erario.sources.writers import join_side, written
 
 FILTER_SCHEMA = {
     "ano": "int", "ano_inicio": "int", "ano_fim": "int", "uf": "string", "ufs": "array<string>", "autor": "string",
     "partido": "string", "funcao": "string", "subfuncao": "string", "tipo_emenda": "string",
 }
+#: Columns that are asked for by a text which they hold, with the filter that gives it.
+TEXT_COLUMNS = {"nome_autor": "autor", "tipo_emenda": "tipo_emenda"}
 KEY_COLUMNS = ["ano", "uf", "partido", "funcao", "subfuncao", "nome_autor", "tipo_emenda"]
 SHORTEST_QUESTION, LONGEST_QUESTION = 3, 500
 
@@ -213,36 +216,57 @@ def _values_holding(sets: DataFrame, field: str, rows: DataFrame, column: str) -
     return met.filter(_contains(F.col(column), F.col("_pedido"))).select(F.col("_pedido").alias(field), F.col(column).alias(f"_q_{column}"))
 
 
+def held_texts(sets: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(column, _textos_column): the values of a column that hold some text the filter sets ask for, with those texts."""
+    field = TEXT_COLUMNS[column]
+    held = _values_holding(sets, field, rows, column).groupBy(F.col(f"_q_{column}").alias(column))
+    return held.agg(F.array_sort(F.collect_list(field)).alias(f"_textos_{column}"))
+
+
+def with_texts(rows: DataFrame, sets: DataFrame, amendments: DataFrame, masks: Iterable[int]) -> DataFrame:
+    """Rows with the texts that their author and type hold, as far as a group of keys asks for one."""
+    for column in TEXT_COLUMNS:
+        if any(mask >> KEY_COLUMNS.index(column) & 1 for mask in masks):
+            rows = rows.join(held_texts(sets, amendments, column), column, "left")
+    return rows
+
+
+def lookups(mask: int, key: Callable[[dict[str, Column]], Column]) -> Column:
+    """The keys that a row looks up for one group: ``key`` for each choice of the texts it holds; without texts in the group, one."""
+
+    def choose(columns: list[str], texts: dict[str, Column]) -> Column:
+        if not columns:
+            return F.array(key(texts))
+        held = F.coalesce(F.col(f"_textos_{columns[0]}"), F.array().cast("array<string>"))
+        return F.flatten(F.transform(held, lambda text: choose(columns[1:], texts | {columns[0]: text})))
+
+    return choose([c for c in TEXT_COLUMNS if mask >> KEY_COLUMNS.index(c) & 1], {})
+
+
+def years_within(amendments: DataFrame) -> Column:
+    """The years between ``ano_inicio`` and ``ano_fim`` that occur."""
+    occurring = [row["ano"] for row in amendments.select("ano").dropna().distinct().collect()]  # calendar years
+    return F.filter(F.array(*map(F.lit, occurring)).cast("array<int>"), lambda y: y.between(F.col("ano_inicio"), F.col("ano_fim")))
+
+
 def search_keys(sets: DataFrame, amendments: DataFrame) -> DataFrame:
     """One row per filter set and combination of key values; null keys filter nothing.
 
-    Texts are resolved to the values that hold them, a range of years to the
-    years that occur.  Where an author is asked for, the matching authors are
-    keys, and years and states in lists stay conditions.
+    A text is a key itself, which rows look up with the texts they hold: naming all values
+    that hold it would make a row for each of them and each set.  A range of years becomes
+    the years that occur, a list of states its states; both stay conditions beside a year or
+    state of the set's own.
     """
-    found = sets
-    for field, column in (("autor", "nome_autor"), ("tipo_emenda", "tipo_emenda")):
-        asked = found.filter(F.col(field).isNotNull()).join(_values_holding(sets, field, amendments, column), field)
-        found = asked.unionByName(found.filter(F.col(field).isNull()).withColumn(f"_q_{column}", F.lit(None).cast("string")))
-    occurring = [row["ano"] for row in amendments.select("ano").dropna().distinct().collect()]  # calendar years
-    within = F.filter(F.array(*map(F.lit, occurring)).cast("array<int>"), lambda y: y.between(F.col("ano_inicio"), F.col("ano_fim")))
     any_year, any_state = F.array(F.lit(None).cast("int")), F.array(F.lit(None).cast("string"))
-    of_author = F.col("autor").isNotNull()
-    years = (
-        F.when(F.col("ano").isNotNull(), F.array("ano"))
-        .when(~of_author & F.col("ano_inicio").isNotNull() & F.col("ano_fim").isNotNull(), within)
-        .otherwise(any_year)
-    )
-    states = (
-        F.when(F.col("uf").isNotNull(), F.array("uf"))
-        .when(~of_author & (F.size("ufs") > 0), F.array_distinct("ufs"))
-        .otherwise(any_state)
-    )
-    one = found.withColumn("_q_ano", F.explode(years)).withColumn("_q_uf", F.explode(states))
-    named = one.withColumns({f"_q_{c}": F.col(c) for c in ("partido", "funcao", "subfuncao")})
+    tests = rest_tests()
+    years = F.when(F.col("ano").isNotNull(), F.array("ano")).when(tests["periodo"], years_within(amendments)).otherwise(any_year)
+    states = F.when(F.col("uf").isNotNull(), F.array("uf")).when(tests["estados"], F.array_distinct(F.array_compact("ufs"))).otherwise(any_state)
+    one = sets.withColumn("_q_ano", F.explode(years)).withColumn("_q_uf", F.explode(states))
+    named = one.withColumns({f"_q_{c}": F.col(c) for c in ("partido", "funcao", "subfuncao")} | {f"_q_{c}": F.col(field) for c, field in TEXT_COLUMNS.items()})
+    rest = [F.when(F.col("ano").isNotNull(), F.col(c)).alias(c) for c in ("ano_inicio", "ano_fim")] + [F.when(F.col("uf").isNotNull(), F.col("ufs")).alias("ufs")]
     carried = [F.when(F.col(f"_q_{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(KEY_COLUMNS)]
     mask = reduce(lambda a, b: a + b, carried).alias("_mascara")
-    return named.select("_numero", *[f"_q_{c}" for c in KEY_COLUMNS], "ano_inicio", "ano_fim", "ufs", mask)
+    return named.select("_numero", *[f"_q_{c}" for c in KEY_COLUMNS], *rest, mask)
 
 
 def rest_tests() -> dict[str, Column]:
@@ -287,25 +311,23 @@ def structured_ranks(questions: DataFrame, amendments: DataFrame, legislators: D
     matched = unfiltered.select("_numero", F.inline("_maiores"))
     if masks:
         facts = with_party(amendments, legislators) if "partido" in used else amendments
-        lookups = [
-            F.struct(
-                F.lit(mask).alias("mascara"),
-                *[
-                    (F.col(c) if mask >> KEY_COLUMNS.index(c) & 1 else F.lit(None).cast(facts.schema[c].dataType)).alias(c)
-                    for c in used
-                ],
-            )
-            for mask in masks
-        ]
-        probe = facts.select(
-            "id", "valor_empenhado", F.col("ano").alias("_ano"), F.col("uf").alias("_uf"), F.explode(F.array(*lookups)).alias("_chave")
+
+        def key(mask: int) -> Callable[[dict[str, Column]], Column]:
+            def field(c: str, texts: dict[str, Column]) -> Column:
+                value = texts.get(c, F.col(c))
+                return (value if mask >> KEY_COLUMNS.index(c) & 1 else F.lit(None).cast(facts.schema[c].dataType)).alias(c)
+
+            return lambda texts: F.struct(F.lit(mask).alias("mascara"), *[field(c, texts) for c in used])
+
+        probe = with_texts(facts, sets, amendments, masks).select(
+            "id", "valor_empenhado", F.col("ano").alias("_ano"), F.col("uf").alias("_uf"), F.explode(F.concat(*[lookups(mask, key(mask)) for mask in masks])).alias("_chave")
         )
         same = reduce(
             lambda a, b: a & b,
             [F.col(f"_chave.{c}").eqNullSafe(F.col(f"_q_{c}")) for c in used],
             F.col("_chave.mascara") == F.col("_mascara"),
         )
-        met = probe.join(keys, reduce(lambda a, b: a & b, checks, same))
+        met = probe.join(join_side(keys), reduce(lambda a, b: a & b, checks, same))
         matched = matched.unionByName(met.select("_numero", "id", "valor_empenhado"))
     order = Window.partitionBy("_numero").orderBy(F.col("valor_empenhado").desc_nulls_last(), F.asc("id"))
     best = matched.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= k)

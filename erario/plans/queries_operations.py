@@ -163,7 +163,8 @@ def _(t):
         k.alias("id_consulta"), "embedding", (1992 + k % 7).cast("int").alias("ano_inicio"), (1992 + k % 7 + F.floor(k / 7) % 4).cast("int").alias("ano_fim"),
         F.when(k % 3 > 0, F.concat(F.lit("0"), 1 + k % 5)).alias("funcao"), F.when(k % 2 == 0, F.lpad((k % 100).cast("string"), 2, "0")).alias("autor"),
     )
-    numbered, passed = operations.passed_filters(asked, t.amendments(), t.legislators)
+    ranked = t.amendments().join(t.vectors.select("id"), "id", "left_semi")  # the others have nothing to rank
+    numbered, passed = operations.passed_filters(asked, ranked, t.legislators)
     questions = numbered.join(asked.select("id_consulta", "embedding"), "id_consulta")
     return vectors.hybrid_prefilter_filters(questions, t.vectors.select("id", "embedding"), passed).select("id_consulta", "id", "posicao")
 

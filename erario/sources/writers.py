@@ -59,3 +59,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Stored tables of more rows than this are not broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def join_side(stored: DataFrame) -> DataFrame:
+    """A stored table as one side of a join: Spark may broadcast it only when it has few rows.
+
+    Files of repeated values say little about the memory their rows take, and a broadcast
+    passes through the driver.
+    """
+    return stored if stored.count() <= BROADCAST_ROWS else stored.hint("merge")

@@ -5,6 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 
 from erario.operators import operations
+from erario.sources import writers
 
 PEOPLE = [(1, "ANA LIMA", "PT"), (2, "BETO CRUZ", "PL"), (3, "ANA SOUZA", "PT"), (4, "DORA", None)]
 SCHEMA = "id long, cod_autor int, ano int, uf string, funcao string, subfuncao string, tipo_emenda string, valor_empenhado decimal(15,2), valor_pago decimal(15,2)"
@@ -90,3 +91,38 @@ def test_no_question_asks_for_a_figure(spark, facts):
     assert operations.figures(plain.limit(0), amendments, legislators).count() == 0
     nothing = operations.figures(plain.replace("busca", "total"), amendments.limit(0), legislators).collect()
     assert [(r.valor, r.qtd) for r in nothing] == [(0, 0)]
+
+
+def _stored_rows(monkeypatch):
+    """Rows of each table that the operators store on the way."""
+    counts = {}
+
+    def counted(df, name):
+        stored = writers.written(df, name)
+        counts[name] = max(counts.get(name, 0), stored.count())
+        return stored
+
+    monkeypatch.setattr(operations, "written", counted)
+    return counts
+
+
+def _many_authors(spark):
+    facts = spark.range(600).selectExpr("cast(id as int) id", "cast(id % 300 as int) cod_autor", "concat('ANA ', id % 300) nome_autor", "cast(2020 + id % 2 as int) ano", "'AC' uf",
+                                        "'10' funcao", "'101' subfuncao", "'Individual' tipo_emenda", "cast(1 as decimal(15,2)) valor_empenhado")
+    return facts, spark.range(300).selectExpr("cast(id as int) cod_autor", "'PT' partido")
+
+
+def test_text_keys_do_not_grow_with_the_names_that_hold_them(spark, monkeypatch):
+    counts, (facts, people) = _stored_rows(monkeypatch), _many_authors(spark)
+    asked = spark.createDataFrame([(i, "ana", "indiv", 2000 + i, 2021, "total") for i in range(10)], "id_consulta int, autor string, tipo_emenda string, ano_inicio int, ano_fim int, operacao string")
+    found = operations.figures(asked, facts, people).collect()
+    assert sorted((r.id_consulta, int(r.valor), r.qtd) for r in found) == [(i, 600, 600) for i in range(10)]
+    assert counts["chaves"] == 10 * 2
+
+
+def test_passed_filters_store_no_pairs(spark, monkeypatch):
+    counts, (facts, people) = _stored_rows(monkeypatch), _many_authors(spark)
+    asked = spark.createDataFrame([(i, "ana", 2000 + i, 2020) for i in range(10)], "id_consulta int, autor string, ano_inicio int, ano_fim int")
+    numbered, passed = operations.passed_filters(asked, facts, people)
+    assert {r.id for r in passed.collect()} == set(range(0, 600, 2)) and {tuple(r.filtros) for r in passed.collect()} == {(2**10 - 1,)}
+    assert max(counts.values()) <= 10 and numbered.count() == 10

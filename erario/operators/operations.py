@@ -1,7 +1,7 @@
 """The figure that each question of a table asks for: totals, means, rankings, counts, comparisons, trends, growth, ratios, lists.
 
-Filter sets look up sums, not rows.  The facts are first summed for each combination of all
-keys; those cells are summed again for every group of keys that some filter set carries,
+Filter sets look up sums, not rows.  The facts are first summed for each combination of the
+keys and details that some question needs; those cells are summed again for every group of keys that some filter set carries,
 together with the detail its operation needs (a dimension, a year), before they meet the
 filter sets in one equi-join.  What moves grows with the combinations that occur, not with
 the facts, and a filter set without any filter is one more group of keys.
@@ -9,7 +9,7 @@ the facts, and a filter set without any filter is one more group of keys.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from erario.functions.fixed_values import RESULT_LIMIT
 from erario.operators.filters import with_party
@@ -25,12 +25,15 @@ TOTAL = "decimal(38,2)"
 FIGURE = "id_consulta, operacao, dimensao, grupo, ano, valor, pago, qtd, variacao, posicao"
 
 
-def _cells(amendments: DataFrame, legislators: DataFrame) -> DataFrame:
-    """Sums for each combination of all keys that occurs; the party joins authors, not facts."""
+def _cells(amendments: DataFrame, legislators: DataFrame, groups: list[Row]) -> DataFrame:
+    """Sums for each combination of the keys and details that some group looks up; other columns are not grouped by."""
+    used = {c for g in groups for i, c in enumerate(KEY_COLUMNS) if g["_mascara"] >> i & 1} | {DIMENSIONS[g["dimensao"]] for g in groups if g["dimensao"]}
+    used |= {"ano" for g in groups if g["_por_ano"] or g["periodo"]} | {"uf" for g in groups if g["estados"]}
     paid = F.col("valor_pago") if "valor_pago" in amendments.columns else F.lit(0).cast("decimal(15,2)")
-    own = ["cod_autor", *[c for c in KEY_COLUMNS if c != "partido"]]
-    sums = amendments.groupBy(*own).agg(F.sum("valor_empenhado").cast(TOTAL).alias("valor"), F.sum(paid).cast(TOTAL).alias("pago"), F.count("valor_empenhado").alias("qtd"))
-    return with_party(sums, legislators)
+    rows = with_party(amendments, legislators) if "partido" in used else amendments
+    sums = rows.groupBy(*[c for c in KEY_COLUMNS if c in used]).agg(F.sum("valor_empenhado").cast(TOTAL).alias("valor"), F.sum(paid).cast(TOTAL).alias("pago"), F.count("valor_empenhado").alias("qtd"))
+    kinds = {c: (legislators if c == "partido" else amendments).schema[c].dataType for c in KEY_COLUMNS}
+    return sums.withColumns({c: F.lit(None).cast(kinds[c]) for c in KEY_COLUMNS if c not in used})
 
 
 def _plans(questions: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def _sums(plans: DataFrame, sets: DataFrame, amendments: DataFrame, legislators:
     groups = asked.groupBy("_mascara", "dimensao", "_por_ano").agg(*carried.values()).collect()  # key groups times dimensions, at most some hundred rows
     if not groups:
         return asked.select("_numero", "operacao", "dimensao", F.lit(None).cast("string").alias("grupo"), F.lit(None).cast("int").alias("ano"), *[F.lit(None).cast(TOTAL).alias(c) for c in ("valor", "pago")], F.lit(0).cast("long").alias("qtd"))
-    cells = written(with_texts(_cells(amendments, legislators), sets, amendments, [g["_mascara"] for g in groups]), "celulas")
+    cells = written(with_texts(_cells(amendments, legislators, groups), sets, amendments, [g["_mascara"] for g in groups]), "celulas")
     looked_up = [_lookup(cells, g["_mascara"], g["dimensao"], g["_por_ano"], g["periodo"], g["estados"]) for g in groups]
     added = [F.sum(c).cast(TOTAL).alias(c) for c in ("valor", "pago")] + [F.sum("qtd").alias("qtd")]
     summed = cells.withColumn("_chave", F.explode(F.concat(*looked_up))).select("_chave.*", "valor", "pago", "qtd")

@@ -126,3 +126,11 @@ def test_passed_filters_store_no_pairs(spark, monkeypatch):
     numbered, passed = operations.passed_filters(asked, facts, people)
     assert {r.id for r in passed.collect()} == set(range(0, 600, 2)) and {tuple(r.filtros) for r in passed.collect()} == {(2**10 - 1,)}
     assert max(counts.values()) <= 10 and numbered.count() == 10
+
+
+def test_cells_hold_only_the_keys_asked_for(spark, monkeypatch):
+    counts, (facts, people) = _stored_rows(monkeypatch), _many_authors(spark)
+    asked = spark.createDataFrame([(1, "PT", "comparacao")], "id_consulta int, partido string, operacao string")
+    found = operations.figures(asked, facts, people).collect()
+    assert sorted((r.grupo, r.ano, int(r.valor), r.qtd) for r in found) == [("Individual", 2020, 300, 300), ("Individual", 2021, 300, 300)]
+    assert counts["celulas"] == 2

@@ -86,8 +86,13 @@ def _corpus_matrix(chunk: pa.RecordBatch) -> np.ndarray:
 
 
 def _billionths(similarity: np.ndarray, threshold: float | None) -> np.ndarray:
-    scores = np.rint(np.nan_to_num(similarity, nan=-2.0) * SCALE).astype(np.int64)
     floor = -SCALE if threshold is None else round(threshold * SCALE)
+    if threshold is not None:  # few pass: only those are rounded
+        near = similarity >= (floor - 1) / SCALE
+        found, scores = np.rint(similarity[near] * SCALE).astype(np.int64), np.full(similarity.shape, NOT_A_CANDIDATE)
+        scores[near] = np.where(found >= floor, found, NOT_A_CANDIDATE)
+        return scores
+    scores = np.rint(np.nan_to_num(similarity, nan=-2.0) * SCALE).astype(np.int64)
     return np.where(scores >= floor, scores, NOT_A_CANDIDATE)
 
 

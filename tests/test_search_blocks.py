@@ -71,3 +71,17 @@ def test_filters_of_each_question(spark):
     assert _found(found) == {a: best for a, best in _best(asked, corpus, 4, allowed).items() if best}
     nobody, nothing = operations.passed_filters(questions.limit(0), amendments, people)
     assert nobody.count() == 0 == nothing.count()
+
+
+def test_a_grid_of_tasks_shares_the_pairs(spark, monkeypatch):
+    for name, value in {"BLOCK_QUESTIONS": 7, "HELD_BLOCKS": 3, "CELL_PAIRS": 500, "SMALL_PAIRS": 1, "CHUNK_ROWS": 16}.items():
+        monkeypatch.setattr(ranked_scan, name, value, raising=False)
+    rng = np.random.RandomState(13)
+    corpus, asked = rng.standard_normal((200, 6)).round(1), rng.standard_normal((50, 6)).round(1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(corpus)], "id int, embedding array<double>").coalesce(1)
+    questions = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "id_consulta int, embedding array<double>")
+    for size in (0, 8 << 20):  # blocks by shuffle and by broadcast
+        monkeypatch.setattr(ranked_scan, "BROADCAST_BYTES", size, raising=False)
+        found = v.semantic_topk(questions, rows, k=5, threshold=None)
+        assert _found(found) == _best(asked, corpus, 5)
+        assert ranked_scan._met(rows, questions).rdd.getNumPartitions() > 20

@@ -13,6 +13,8 @@ from erario.sources import readers, writers
 FUNCTION_NAMES = ["Saúde", "EDUCAÇÃO BÁSICA", "Urbanismo", "Segurança pública e Transporte", "transporte"]
 STATE_NAMES = list(STATE_CODES)
 PAGE_ROWS = 1000
+#: Ids of as many pages are gathered before they are cut into pages, so that pages of one folder are filled.
+GATHERED_PAGES = 32
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -82,10 +84,13 @@ def land_amendments(t: Tables) -> str:
 
 def land_arrays(records: DataFrame, path: str, folder_by: str | None = None) -> None:
     """Land records as files that each hold one JSON array of at most PAGE_ROWS records."""
-    page = F.floor(F.col("id") / PAGE_ROWS)
-    by = [page.alias("_pagina"), *([folder_by] if folder_by else [])]
+    span = F.floor(F.col("id") / (PAGE_ROWS * GATHERED_PAGES))
+    by = [span.alias("_faixa"), *([folder_by] if folder_by else [])]
     body = F.struct(*[c for c in records.columns if c not in ("id", folder_by)])
-    pages = records.groupBy(*by).agg(F.to_json(F.collect_list(body)).alias("value")).drop("_pagina")
+    gathered = records.groupBy(*by).agg(F.collect_list(body).alias("_registros"))
+    starts = F.sequence(F.lit(1), F.size("_registros"), F.lit(PAGE_ROWS))
+    cut = gathered.withColumn("_pagina", F.explode(F.transform(starts, lambda i: F.slice("_registros", i, PAGE_ROWS))))
+    pages = cut.select(*([folder_by] if folder_by else []), F.to_json("_pagina").alias("value"))
     writer = pages.write.option("maxRecordsPerFile", 1)
     (writer.partitionBy(folder_by) if folder_by else writer).text(path)
 

@@ -275,3 +275,13 @@ def test_partition_names_and_new_columns(spark, tmp_path):
     assert partitions.stage(batch, path, "k", "uf") and partitions.complete(spark, path, "uf")
     rows = read_partitioned(spark, path, batch.schema["uf"]).select("k", "uf", "v").collect()
     assert sorted(map(tuple, rows)) == [("1", "01", None), ("2", "01", 5), ("3", "02", None)]
+
+
+def test_landed_arrays_fill_their_pages(spark, tmp_path, monkeypatch):
+    from erario.plans import queries_ingest
+
+    monkeypatch.setattr(queries_ingest, "PAGE_ROWS", 10)
+    rows = spark.range(300).selectExpr("id", "cast(id as string) codigoEmenda", "concat('emendas_', 2000 + id % 6, '.json') arquivo")
+    queries_ingest.land_arrays(rows, str(tmp_path / "anos"), "arquivo")
+    pages = [json.loads(p.read_text()) for p in (tmp_path / "anos").rglob("part-*")]
+    assert sorted(int(r["codigoEmenda"]) for page in pages for r in page) == list(range(300)) and max(map(len, pages)) == 10 and len(pages) == 30

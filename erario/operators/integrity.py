@@ -97,7 +97,7 @@ def touched_partitions(target: DataFrame, batch: DataFrame, key: str, partition:
     return batch.select(partition).unionByName(left.select(partition)).distinct()
 
 
-def link_author(amendments: DataFrame, legislators: DataFrame) -> DataFrame:
+def link_author(amendments: DataFrame, legislators: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Set ``cod_autor`` to the lowest legislator whose name contains the author name.
 
     Containment is turned into an equi-join: every legislator name yields its
@@ -105,10 +105,11 @@ def link_author(amendments: DataFrame, legislators: DataFrame) -> DataFrame:
     lowest id per substring is pre-aggregated, so common fragments stay cheap.
     The set of lengths is broadcast: n different lengths need n*n/2 letters of
     names, so it holds some hundred numbers.  An empty author name links to
-    nobody.
+    nobody.  The names are read from ``named``, rows that have at least all of
+    them, where ``amendments`` themselves are costly to compute twice.
     """
     name = F.upper("nome_autor")
-    authors = amendments.select(name.alias("_nome")).filter("_nome <> ''").distinct()
+    authors = (amendments if named is None else named).select(name.alias("_nome")).filter("_nome <> ''").distinct()
     lengths = authors.select(F.length("_nome").alias("_tamanho")).distinct()
     people = legislators.select("cod_autor", F.upper("nome").alias("_texto")).filter("_texto <> ''")
     sized = people.withColumn("_tamanho", F.explode(F.sequence(F.lit(1), F.length("_texto")))).join(

@@ -14,14 +14,14 @@ from erario.sources.writers import written
 def prepare_amendments(raw: DataFrame, legislators: DataFrame, order: list[str]) -> DataFrame:
     """Normalised, valid, one row per code (the first in ``order``), linked to their authors.
 
-    Linking reads the deduplicated rows several times and a load reads the
-    linked ones several times, so each is written to the shared scratch folder
-    once instead of repeating the parsing and the shuffle.
+    A load reads the linked rows several times, so they are written to the shared
+    scratch folder once.  Linking takes the names from the rows before the
+    deduplication, which then need not be written.
     """
     extra = [c for c in order if c != "ano"]
     rows = integrity.drop_invalid_codes(normalize.normalize_amendments(raw, *extra))
-    first = written(integrity.dedup_first(rows, "codigo_emenda", order).drop(*extra), "unicas")
-    return written(integrity.link_author(first, legislators), "vinculadas")
+    first = integrity.dedup_first(rows, "codigo_emenda", order).drop(*extra)
+    return written(integrity.link_author(first, legislators, rows), "vinculadas")
 
 
 def load_amendments(raw: DataFrame, legislators: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:

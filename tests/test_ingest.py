@@ -285,3 +285,15 @@ def test_landed_arrays_fill_their_pages(spark, tmp_path, monkeypatch):
     queries_ingest.land_arrays(rows, str(tmp_path / "anos"), "arquivo")
     pages = [json.loads(p.read_text()) for p in (tmp_path / "anos").rglob("part-*")]
     assert sorted(int(r["codigoEmenda"]) for page in pages for r in page) == list(range(300)) and max(map(len, pages)) == 10 and len(pages) == 30
+
+
+def test_preparing_a_load_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    from erario.plans import ingest
+
+    stored = []
+    monkeypatch.setattr(ingest, "written", lambda df, name: stored.append(name) or writers.written(df, name))
+    _land(tmp_path, 2023, [RECORD, dict(RECORD, nomeAutor="outro"), dict(RECORD, codigoEmenda="4", nomeAutor="ninguém")])
+    raw = readers.read_amendments(spark, str(tmp_path)).withColumn("linha", F.col("nomeAutor"))
+    people = spark.createDataFrame([(5, "ROBERTO DUARTE"), (6, "OUTRO")], "cod_autor int, nome string")
+    rows = ingest.prepare_amendments(raw, people, ["ano", "linha"]).collect()
+    assert sorted((r.codigo_emenda, r.cod_autor) for r in rows) == [("202011970001", 5), ("4", None)] and stored == ["vinculadas"]

@@ -13,6 +13,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ LEAST_SUPPORT, LEAST_SURE, PRIOR_ROWS = 4, 0.8, 1.0
 MARK_WORDS = 6
 #: The largest number of terms of a model, and the lengths of the word beginnings that are terms too.
 MOST_TERMS, STEMS = 20_000, (4, 5, 6)
+SHORTEST = min(STEMS)
 
 # Letters that digits and marks may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -35,13 +37,17 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 LOOKALIKE_COST, REPEAT_COST, MARK_COST, BOUNDARY_COST, PLAIN_COST = 1.0, 0.7, 0.9, 1.8, 0.05
 EDGE, OTHER = "^", "~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SYMBOLS = EDGE + LETTERS
+#: The place of a symbol by its code.
+PLACES = np.array([max(SYMBOLS.find(chr(code)), 0) for code in range(128)])
+#: So many words are held, and so many trigrams counted at once.
+HELD_WORDS, COUNTED = 50_000, 1 << 20
 WORDS = re.compile(r"[^\W\d_]+")
-#: What may be disguised, each after a quick pattern without which a text has none: letters with look-alikes at any place,
-#: doubled letters, single letters set apart, words cut by marks.
+#: What may be disguised, besides words with doubled letters, each after a quick pattern without which a text has none:
+#: letters with look-alikes at any place, single letters set apart, words cut by marks.
 DISGUISED = [
     (re.compile(r"[0-9@$!|+€]"), re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+€]\S*")),
-    (re.compile(r"([^\W\d_])\1"), re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*")),
-    (re.compile(r""), re.compile(r"(?<!\w)[^\W_](?=[\s./\-_*~])(?:[\s./\-_*~]+[^\W_]){2,}(?!\w)")),
+    (re.compile(r"[\s./\-_*~][^\W_][\s./\-_*~]+[^\W_](?!\w)"), re.compile(r"(?<!\w)[^\W_](?=[\s./\-_*~])(?:[\s./\-_*~]+[^\W_]){2,}(?!\w)")),
     (re.compile(r"[.\-_*~](?<=[^\W\d_].)[^\W\d_]"), re.compile(r"(?<!\w)[^\W\d_]+(?:[.\-_*~][^\W\d_]+)+(?!\w)")),
 ]
 DOUBLED, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
@@ -66,10 +72,9 @@ class CharacterModel:
             pairs[gram[1:]] += n
             starts[gram[1]] += n
         self.cost: dict[str, float] = {}
-        symbols = EDGE + LETTERS
-        for a in symbols:
-            for b in symbols:
-                for c in symbols:
+        for a in SYMBOLS:
+            for b in SYMBOLS:
+                for c in SYMBOLS:
                     single = (one[c] + 1) / total
                     pair = (pairs[b + c] + 20 * single) / (starts[b] + 20)
                     self.cost[a + b + c] = -math.log((counts.get(a + b + c, 0) + 20 * pair) / (two[a + b] + 20))
@@ -204,6 +209,8 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         lower = text.lower()
         found = set(WORDS.findall(lower))
+        for word in list(filter(DOUBLED.search, found)):
+            found.update(self.known[word])
         for quick, disguised in DISGUISED:
             if quick.search(lower):
                 for match in disguised.finditer(lower):
@@ -211,23 +218,34 @@ class Restorer:
         return found
 
 
+def count_trigrams(words: list[str]) -> np.ndarray:
+    """How often each trigram stands in words of a-z, two edges before and one after each; place ``k`` is for the symbols ``k // 729``, ``k // 27 % 27`` and ``k % 27``."""
+    marked = np.frombuffer((EDGE * 2 + (EDGE * 3).join(words) + EDGE).encode(), np.uint8)
+    counts = np.zeros(len(SYMBOLS) ** 3, np.int64)
+    for at in range(0, len(marked) - 2, COUNTED):
+        part = PLACES[marked[at : at + COUNTED + 2]]
+        counts += np.bincount(729 * part[:-2] + 27 * part[1:-1] + part[2:], minlength=len(counts))
+    counts[::729] = 0  # two edges at the end: from one word to the next
+    return counts
+
+
 def letter_trigrams(docs: DataFrame) -> DataFrame:
     """``gram, n`` over the words of all documents that are made of a-z; at most 27^3 grams, summed in each task first."""
     plain = re.compile(r"(?<![^\W_])[a-z]+(?![^\W_])")
     schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
 
     def count(batches):
-        grams: Counter = Counter()
+        counts, words = count_trigrams([]), []
         for batch in batches:
-            of_words: Counter = Counter()
             for text in texts(batch):
-                of_words.update(plain.findall(text.lower()))
-            for word, n in of_words.items():
-                edged = EDGE + EDGE + word + EDGE
-                for i in range(len(edged) - 2):
-                    grams[edged[i : i + 3]] += n
-        if grams:
-            yield rows(schema, gram=list(grams), n=list(grams.values()))
+                words += plain.findall(text.lower())
+                if len(words) >= HELD_WORDS:
+                    counts += count_trigrams(words)
+                    words.clear()
+        counts += count_trigrams(words)
+        met = np.flatnonzero(counts).tolist()
+        if met:
+            yield rows(schema, gram=[SYMBOLS[k // 729] + SYMBOLS[k // 27 % 27] + SYMBOLS[k % 27] for k in met], n=counts[met])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -269,12 +287,15 @@ class Scorer:
     def __init__(self, counts: dict[str, int], terms: dict[str, tuple[float, float]]):
         self.restorer = Restorer(counts, Lexicon({term: share for term, (_, share) in terms.items()}))
         sure = {term: chance for term, (chance, _) in terms.items()}
+        #: A word that begins otherwise meets no term.
+        self.beginnings = {term.removesuffix("*")[:SHORTEST] for term in terms}
         self.weight = Memo(lambda word: max([sure.get(word, 0.0), *(sure.get(word[:n] + "*", 0.0) for n in STEMS)]))
 
     def score(self, text: str) -> float:
         """The chance that at least one sign is right; 0.01 for a text without any."""
         doubt = 0.99
-        for weight in sorted(filter(None, map(self.weight.__getitem__, self.restorer.words(text)))):
+        signs = [word for word in self.restorer.words(text) if word[:SHORTEST] in self.beginnings]
+        for weight in sorted(filter(None, map(self.weight.__getitem__, signs))):
             doubt *= 1 - weight
         return 1 - doubt
 

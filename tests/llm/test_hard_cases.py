@@ -1,6 +1,7 @@
 """Ties, repeated ids, hot groups, clashing names and very long texts in the training-data operators."""
 
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from erario.llm import license_scan, mixing, near_dedup, quality, vp_search
+from erario.llm import license_scan, mixing, near_dedup, quality, toxicity, vp_search
 from erario.llm.common import fresh
 
 
@@ -162,3 +163,59 @@ def test_prefix_pairs_of_a_crowd(spark):
     linked = {(i, j) for i, j, both in every if 180 * both >= 80 * (len(found[i]) + len(found[j]))}
     assert linked and linked <= pairs
     assert len(pairs) <= 2 * len(linked) < len(every) / 10
+
+
+def toxicity_rows():
+    draw = random.Random(5)
+    kinds = ["aabc1_é²ßİ\n.٣ ", "ab 1.-*~\t\xa0_é", "ae0$!| tt\n"]
+    return [None, "", "^a^", "~", "a", "A b", *("".join(draw.choice(kind) for _ in range(draw.randrange(1, 25))) for kind in kinds for _ in range(3000))]
+
+
+def test_trigrams_by_definition(spark, monkeypatch):
+    """Words next to digits, accents and line ends, over several batches of words and parts of a batch."""
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 40)
+    monkeypatch.setattr(toxicity, "COUNTED", 7)
+    expected = Counter()
+    for text in toxicity_rows():
+        for run in re.findall(r"[^\W_]+", (text or "").lower()):
+            if set(run) <= set(toxicity.LETTERS):
+                edged = f"^^{run}^"
+                expected.update(edged[i : i + 3] for i in range(len(edged) - 2))
+    docs = spark.createDataFrame([(text,) for text in toxicity_rows()], "text string").repartition(3)
+    assert {row.gram: row.n for row in toxicity.letter_trigrams(docs).collect()} == expected
+    assert toxicity.letter_trigrams(docs.limit(0)).collect() == []
+
+
+def test_toxicity_words_by_definition():
+    """The words of every stretch that may be disguised, found by its full pattern alone."""
+    disguised = [pattern for _, pattern in toxicity.DISGUISED] + [re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*")]
+    lexicon = toxicity.Lexicon({"bab": 0.1, "babe*": 0.1})
+    restorer, model = toxicity.Restorer({"^^b": 5, "^ba": 5, "bab": 4}, lexicon), toxicity.CharacterModel({"^^b": 5, "^ba": 5, "bab": 4})
+    for text in filter(None, toxicity_rows()):
+        lower = text.lower()
+        expected = set(toxicity.WORDS.findall(lower))
+        for pattern in disguised:
+            for match in pattern.finditer(lower):
+                expected.update(toxicity.restore(match.group(), model, lexicon).split())
+        assert restorer.words(text) == expected, text
+
+
+def test_toxicity_work_for_distinct_words():
+    """A word with doubled letters is looked up once a text, a weight only for a word that begins like a term."""
+
+    class Asked(list):
+        def __init__(self, results):
+            super().__init__()
+            self.results = results
+
+        def __getitem__(self, key):
+            self.append(key)
+            return self.results[key]
+
+    scorer = toxicity.Scorer({"^^i": 9, "idi": 9}, {"idiot": (0.9, 0.1), "moro*": (0.8, 0.1)})
+    text = "letters room idiot moronic idiom mor morsel " * 500
+    expected = scorer.score(text)
+    restored = scorer.restorer.known = Asked(scorer.restorer.known)
+    weighed = scorer.weight = Asked(scorer.weight)
+    assert scorer.score(text) == expected == 1 - 0.99 * (1 - 0.8) * (1 - 0.9)
+    assert sorted(restored) == ["letters", "room"] and sorted(weighed) == ["idiom", "idiot", "moronic"]
